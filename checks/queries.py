@@ -538,7 +538,7 @@ add(
     "base64_text",
     lambda spark, sf: ov.load(spark, sf, "pages")
     .select("page_id", first_group(F.col("html"), "<title>([^<]*)</title>").alias("title"))
-    .select("page_id", base64_text(F.base64(F.encode("title", "UTF-8"))).alias("decoded")),
+    .select("page_id", base64_text(F.regexp_replace(F.base64(F.encode("title", "UTF-8")), "[\r\n]", "")).alias("decoded")),
     "SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS decoded FROM pages",
 )
 add(

@@ -13,6 +13,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.reuse import per_session
 from ..functions.text import cut
 from ..functions.urls import url_join
 
@@ -107,19 +108,15 @@ def together(*arrays: Column) -> Column:
     return F.concat(*arrays) if len(arrays) > 1 else arrays[0]
 
 
-def explode_candidates(
-    pages: DataFrame, arrays: Sequence[tuple[int, Column]], keys: Sequence[str], base: str = "base"
-) -> DataFrame:
-    """Resolve, drop repeated candidates and explode.
+def merge_candidates(arrays: Sequence[tuple[int, Column]], base: Column) -> Column:
+    """All candidates of a page as one array, values resolved, sorted by extractor, key and order.
 
-    ``arrays`` pairs each candidates column with its extractor's position. The first-wins rule sorts a page's candidates
-    by extractor, key and order and drops those equal to their predecessor: n log n in the candidates of one page, no
-    shuffle.
+    ``arrays`` pairs each candidates column with its extractor's position; ``base`` is the page's ``url_parts``.
     """
     orders = F.array(*[F.lit(order) for order, _ in arrays])
 
     def resolved(c: Column, order: Column) -> Column:
-        value = F.when(c["resolve"], url_join(F.col(base), c["value"])).otherwise(c["value"])
+        value = F.when(c["resolve"], url_join(base, c["value"])).otherwise(c["value"])
         return F.struct(order.alias("extractor_ord"), value.alias("value"), c.alias("c"))
 
     def keyed(r: Column) -> Column:
@@ -145,12 +142,14 @@ def explode_candidates(
         F.array(*[a for _, a in arrays]),
         lambda candidates, i: F.transform(candidates, lambda c: resolved(c, F.get(orders, i))),
     )
-    ordered = pages.select(
-        *keys, F.sort_array(F.transform(F.flatten(per_extractor), keyed)).alias("candidates")
-    )
+    return F.sort_array(F.transform(F.flatten(per_extractor), keyed))
+
+
+def first_candidates(candidates: str) -> Column:
+    """Drop candidates whose key equals their predecessor's. Linear, since the array is sorted."""
 
     def is_first(c: Column, i: Column) -> Column:
-        before = F.get(F.col("candidates"), i - 1)
+        before = F.get(F.col(candidates), i - 1)
         return (
             c["key"].isNull()
             | (i == 0)
@@ -158,23 +157,30 @@ def explode_candidates(
             | ~c["key"].eqNullSafe(before["key"])
         )
 
+    return F.filter(candidates, is_first)
+
+
+def explode_candidates(pages: DataFrame, candidates: Column, keys: Sequence[str]) -> DataFrame:
+    """Finding rows of the pages, from their merged candidates: the first-wins rule without a shuffle."""
+    ordered = pages.select(*keys, candidates.alias("candidates"))
     # The filter stands inside the explode on purpose: over a plain attribute the optimizer would infer a
     # not-empty predicate and push it below, computing everything twice.
-    rows = ordered.select(*keys, F.explode(F.filter("candidates", is_first)).alias("f"))
+    kept = per_session("first_candidates", lambda: first_candidates("candidates"))
+    rows = ordered.select(*keys, F.explode(kept).alias("f"))
     return rows.select(
         "site",
         "url",
         "page_id",
-        F.col("f.type").alias("type"),
-        F.col("f.value").alias("value"),
-        F.col("f.source").alias("source"),
-        F.col("f.severity").alias("severity"),
-        F.col("f.context").alias("context"),
+        "f.type",
+        "f.value",
+        "f.source",
+        "f.severity",
+        "f.context",
         F.map_from_entries("f.metadata").alias("metadata"),
         "visit_order",
-        F.col("f.extractor_ord").alias("extractor_ord"),
-        F.col("f.rule_ord").alias("rule_ord"),
-        F.col("f.match_ord").alias("match_ord"),
+        "f.extractor_ord",
+        "f.rule_ord",
+        "f.match_ord",
     )
 
 

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.reuse import per_session
 from ..functions.text import contains_any, find_all, find_groups, strip
 from ..functions.urls import site_of, url_join, url_parts
 from ..schema import ROBOTS_VISIT, SITEMAP_VISIT
-from .candidates import each, explode_candidates, prefixed, together
+from .candidates import each, explode_candidates, merge_candidates, prefixed, together
 
 # Patterns and words. Blanks after a keyword may span lines, as in the pattern language they come from.
 DISALLOW = r"Disallow:\s*(.+)"
@@ -32,6 +33,10 @@ def robots_findings(robots: DataFrame) -> DataFrame:
         F.coalesce("content", F.lit("")).alias("content"),
         url_parts(F.col("base_url")).alias("base"),
     )
+    return explode_candidates(documents, per_session("robots", _robots_candidates), _KEYS)
+
+
+def _robots_candidates() -> Column:
     content = F.col("content")
     disallowed = each(
         F.transform(find_all(content, DISALLOW, 1, ignore_case=True), strip),
@@ -61,7 +66,7 @@ def robots_findings(robots: DataFrame) -> DataFrame:
         value=lambda text: text,
         context=lambda text: prefixed("Interesting robots.txt comment: ", text),
     )
-    return explode_candidates(documents, [(0, together(disallowed, sitemaps, remarks))], _KEYS)
+    return merge_candidates([(0, together(disallowed, sitemaps, remarks))], F.col("base"))
 
 
 def sitemap_requests(robots: DataFrame, sites: DataFrame) -> DataFrame:

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.reuse import per_session
 from ..functions.text import case_fold
 from . import registry
-from .candidates import explode_candidates
+from .candidates import explode_candidates, merge_candidates
 from .page import page_columns, with_page_columns
 from .technology import detect, searched_text
 
@@ -22,7 +23,8 @@ def with_technologies(pages: DataFrame) -> DataFrame:
     text = searched_text(page_columns())
     searched = pages.select("*", text.alias("searched"), F.lower(text).alias("searched_lower"))
     folded = searched.select("*", case_fold(F.col("searched"), F.col("searched_lower")).alias("searched_fold"))
-    return folded.select("*", detect(F.col("searched"), F.col("searched_fold")).alias("technologies"))
+    detected = per_session("technologies", lambda: detect(F.col("searched"), F.col("searched_fold")))
+    return folded.select("*", detected.alias("technologies"))
 
 
 def extract(responses: DataFrame, extractors: Sequence[str]) -> DataFrame:
@@ -30,13 +32,19 @@ def extract(responses: DataFrame, extractors: Sequence[str]) -> DataFrame:
     pages = with_page_columns(responses)
     if _USES_TECHNOLOGY & set(extractors):
         pages = with_technologies(pages)
-    page = page_columns()
-    entries = sorted((registry.entry(name) for name in extractors), key=lambda e: e.order)
-    return explode_candidates(pages, [(e.order, e.extract(page)) for e in entries], _KEYS)
+    entries = tuple(sorted((registry.entry(name) for name in extractors), key=lambda e: e.order))
+
+    def candidates() -> Column:
+        page = page_columns()
+        return merge_candidates([(e.order, e.extract(page)) for e in entries], page.base)
+
+    return explode_candidates(pages, per_session(entries, candidates), _KEYS)
 
 
 def technologies(responses: DataFrame) -> DataFrame:
     """``(site, page_id, name, category, version)``, one row per technology of a response."""
     pages = with_technologies(with_page_columns(responses))
-    rows = pages.select("site", "page_id", F.explode(F.col("technologies")).alias("t"))
+    # An expression and not the bare column is exploded, for the reason given in explode_candidates.
+    listed = F.transform("technologies", lambda t: t.dropFields("evidence"))
+    rows = pages.select("site", "page_id", F.explode(listed).alias("t"))
     return rows.select("site", "page_id", F.col("t.ord").alias("ord"), "t.name", "t.category", "t.version")

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.reuse import per_session
 from ..functions.text import case_fold, find_all
 from ..functions.urls import url_parts
 
@@ -65,29 +66,28 @@ def _lower_headers(headers: Column) -> Column:
     )
 
 
-def with_page_columns(responses: DataFrame) -> DataFrame:
+def _text_columns() -> list[Column]:
+    html = F.coalesce(F.col("html"), F.lit(""))
     headers = F.coalesce(F.col("headers"), F.create_map().cast("map<string,string>"))
-    lowered = responses.select(
-        "site",
-        "url",
-        "page_id",
-        "visit_order",
-        F.coalesce(F.col("html"), F.lit("")).alias("html"),
-        headers.alias("headers"),
-        F.lower(F.coalesce(F.col("html"), F.lit(""))).alias("lower"),
-    )
-    return lowered.select(
-        "*",
+    names = [F.col(name) for name in ("site", "url", "page_id", "visit_order")]
+    return [*names, html.alias("html"), headers.alias("headers"), F.lower(html).alias("lower")]
+
+
+def _derived_columns() -> list[Column]:
+    script_bodies = find_all(F.col("html"), r"<script[^>]*>((?s:.)*?)</script>", 1, ignore_case=True)
+    lines = F.transform(F.map_entries("headers"), lambda e: F.concat(e["key"], F.lit(": "), e["value"]))
+    return [
+        F.col("*"),
         case_fold(F.col("html"), F.col("lower")).alias("fold"),
-        F.when(
-            F.contains(F.col("html"), F.lit("</")),
-            find_all(F.col("html"), r"<script[^>]*>((?s:.)*?)</script>", 1, ignore_case=True),
-        )
+        F.when(F.contains(F.col("html"), F.lit("</")), script_bodies)
         .otherwise(F.array().cast("array<string>"))
         .alias("scripts"),
         _lower_headers(F.col("headers")).alias("lower_headers"),
-        F.array_join(
-            F.transform(F.map_entries("headers"), lambda e: F.concat(e["key"], F.lit(": "), e["value"])), "\n"
-        ).alias("header_lines"),
+        F.array_join(lines, "\n").alias("header_lines"),
         url_parts(F.col("url")).alias("base"),
-    )
+    ]
+
+
+def with_page_columns(responses: DataFrame) -> DataFrame:
+    texts = responses.select(*per_session("text_columns", _text_columns))
+    return texts.select(*per_session("derived_columns", _derived_columns))
