@@ -35,6 +35,15 @@ def dialect(pattern: str, ignore_case: bool = False) -> str:
     return f"(?{flags}){pattern}"
 
 
+def starting(characters: str, pattern: str) -> str:
+    """The pattern, with a test of its first character in front.
+
+    A pattern that begins with alternatives tries each of them at every position; one character class tells at most
+    positions that none can match. ``characters`` are those the alternatives begin with.
+    """
+    return f"(?=[{characters}]){pattern}"
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Bind ``value`` to a name inside an expression, so that it is evaluated once however often ``body`` uses it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -11,7 +11,7 @@ from ..functions.text import (
     find_all,
     find_groups,
     has_scheme,
-    matches,
+    starting,
     starts_with_any,
     strip,
 )
@@ -49,7 +49,7 @@ CALL = (
 XHR = r"""XMLHttpRequest(?s:.){0,30}?['"`](https?://[^'"`]+)['"`]"""
 
 
-def _routes(rule: int, source: str, severity: str, found: Column, when: Column, label: str, length: int, **fields):
+def _routes(rule: int, source: str, severity: str, found: Column, when: Column | None, label: str, length: int, **fields):
     return each(
         found,
         when=when,
@@ -85,7 +85,7 @@ def api_routes(page: Page) -> Column:
             "rest_api_path",
             "low",
             find_all(html, REST_PATH, 1, True),
-            matches(fold, r"""['"`]/[a-z0-9]+/"""),
+            None,
             "REST path: ",
             60,
             resolve=True,
@@ -94,7 +94,7 @@ def api_routes(page: Page) -> Column:
             3,
             "api_link_tag",
             "low",
-            find_all(html, API_LINK, 1, True),
+            find_all(html, starting("hsc", API_LINK), 1, True),
             contains_any(fold, "://") & contains_any(fold, "api", "rest", "graphql", "endpoint"),
             "API link: ",
             80,
@@ -124,7 +124,7 @@ def api_routes(page: Page) -> Column:
             6,
             "config_object",
             "medium",
-            find_all(html, CONFIG, 1, True),
+            find_all(html, starting("abe", CONFIG), 1, True),
             contains_any(fold, "baseurl", "apiurl", "apibase", "endpoint", "api_url", "api_base"),
             "",
             0,
@@ -134,7 +134,7 @@ def api_routes(page: Page) -> Column:
             context_cut=60,
         ),
         each(
-            find_groups(html, CALL, ignore_case=True),
+            find_groups(html, starting(".fx", CALL), ignore_case=True),
             when=has_call,
             keep=lambda m: is_call_target(strip(m["g1"])),
             rule=7,

@@ -12,6 +12,7 @@ from ..functions.text import (
     find_groups,
     has_scheme,
     matches,
+    starting,
     starts_with_any,
     strip,
 )
@@ -45,7 +46,7 @@ def is_call_target(target: Column) -> Column:
 
 def endpoints(page: Page) -> Column:
     links = each(
-        find_groups(page.html, ATTRIBUTE, ignore_case=True),
+        find_groups(page.html, starting("hsad][rca", ATTRIBUTE), ignore_case=True),
         when=contains_any(page.fold, "href=", "src=", "action=", "data-"),
         keep=lambda m: ~starts_with_any(strip(m["g1"]), *NOT_A_LINK),
         type="endpoint",
@@ -56,7 +57,7 @@ def endpoints(page: Page) -> Column:
         once=True,
     )
     calls = each(
-        find_groups(page.html, CALL, ignore_case=True),
+        find_groups(page.html, starting(".fx", CALL), ignore_case=True),
         when=contains_any(
             page.fold, "fetch", ".get", ".post", ".put", ".delete", ".patch", ".ajax", "xmlhttprequest"
         ),
@@ -72,7 +73,6 @@ def endpoints(page: Page) -> Column:
     )
     templates = each(
         find_groups(page.html, TEMPLATE, ignore_case=True),
-        when=matches(page.fold, r"""['"`]/(?:api|v[0-9]|graphql|rest)"""),
         rule=2,
         type="api_route",
         source="template_literal",
@@ -116,9 +116,13 @@ def scripts(page: Page) -> Column:
             ).alias("flags"),
         ),
     )
+    # The text between the first start and the last end bounds the length of any script.
+    start = F.instr(page.fold, "<script")
+    after_last = F.substring_index(page.fold, "</script>", -1)
+    longest = F.length(page.fold) - F.length(after_last) - start
     large = each(
         flagged,
-        when=contains_any(page.fold, "</script>"),
+        when=(start > 0) & (longest >= 500),
         keep=lambda m: F.size(m["flags"]) > 0,
         rule=2,
         type="javascript",

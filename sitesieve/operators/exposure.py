@@ -177,8 +177,10 @@ def script_secrets(page: Page) -> Column:
 def graphql(page: Page) -> Column:
     first = None
     for pattern, what in GRAPHQL_SIGNS:
-        literal = "\\" not in pattern
-        test = contains_any(page.fold, pattern) if literal else matches(page.html, pattern, ignore_case=True)
+        word = pattern.split("\\")[0]
+        test = contains_any(page.fold, word)
+        if word != pattern:
+            test = test & matches(page.html, pattern, ignore_case=True)
         hit = F.struct(F.lit(pattern).alias("pattern"), F.lit(what).alias("what"))
         first = F.when(test, hit) if first is None else first.when(test, hit)
     return each(

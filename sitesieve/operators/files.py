@@ -63,10 +63,21 @@ ENVIRONMENT = r"(?:process\.env\.|import\.meta\.env\.)(\w+)"
 SOURCE_MAP = r"//#\s*sourceMappingURL=(\S+)"
 MAP_FILE = r"""["']([^"']*\.js\.map)["']"""
 
+
+
+def _any_path(paths: list[str]) -> str:
+    """A search for any of the paths. The slash stands in front once, so that alternatives are tried after slashes only."""
+    return f"/(?:{any_literal([path[1:].lower() for path in paths])})"
+
+
 # Where a table of literals is tested against a page, one search for any of them runs first.
-_ANY_SENSITIVE = any_literal([p.lower() for p in SENSITIVE_PATHS])
-_ANY_DEBUG = any_literal(DEBUG_PATHS)
+_ANY_SENSITIVE = _any_path(SENSITIVE_PATHS)
+_ANY_DEBUG = _any_path(DEBUG_PATHS)
 _ANY_BACKUP_NAME = any_literal(BACKUP_NAMES)
+# Every backup extension contains one of these.
+_EXTENSION_MARKS = [e for e in BACKUP_EXTENSIONS if not any(o in e for o in BACKUP_EXTENSIONS if o != e)]
+# Every backup name contains one of these.
+_BACKUP_MARKS = ("backup.", ".sql", ".zip", ".bak", ".env.", "credentials.json", "secrets.json", "service-account.json")
 
 
 def _sensitive_severity(path: str) -> str:
@@ -141,9 +152,12 @@ def backup_files(page: Page) -> Column:
 
     links = each(
         find_groups(
-            page.html, rf"""href=["']([^"']*(?:{any_literal(BACKUP_EXTENSIONS)}))["']""", ignore_case=True
+            # a value reaches to the next quote anyway, so its end is tested once and not at every character
+            page.html,
+            rf"""href=["']([^"']++(?<=(?:{any_literal(BACKUP_EXTENSIONS)})))["']""",
+            ignore_case=True,
         ),
-        when=contains_any(page.fold, "href="),
+        when=contains_any(page.fold, *_EXTENSION_MARKS),
         rule=lambda m: first_extension(m["g1"]),
         type="file",
         source="backup_file",
@@ -171,7 +185,7 @@ def backup_files(page: Page) -> Column:
     )
     names = each(
         let(endings, named),
-        when=F.rlike(page.fold, F.lit(_ANY_BACKUP_NAME)),
+        when=contains_any(page.fold, *_BACKUP_MARKS),
         keep=lambda m: m["path"].isNotNull(),
         rule=lambda m: m["rule"],
         type="file",

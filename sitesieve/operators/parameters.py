@@ -7,7 +7,7 @@ import json
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.text import contains_any, cut, find_all, find_groups, matches, strip
+from ..functions.text import contains_any, cut, find_all, find_groups, starting, strip
 from ..functions.urls import query_pairs
 from .candidates import each, together
 from .page import Page
@@ -88,7 +88,7 @@ def _form_inputs(page: Page) -> Column:
 
 
 def _query_keys(page: Page) -> Column:
-    urls = F.filter(find_all(page.html, URL_WITH_QUERY), lambda u: F.contains(u, F.lit("?")))
+    urls = F.filter(find_all(page.html, starting("h/", URL_WITH_QUERY)), lambda u: F.contains(u, F.lit("?")))
     return each(
         F.flatten(F.transform(urls, query_pairs)),
         when=contains_any(page.html, "?"),
@@ -103,7 +103,7 @@ def _query_keys(page: Page) -> Column:
 
 
 def _body_keys(page: Page) -> Column:
-    bodies = find_groups(page.html, REQUEST_BODY, ignore_case=True)
+    bodies = find_groups(page.html, starting("fa", REQUEST_BODY), ignore_case=True)
     keys = F.flatten(
         F.transform(
             bodies,
@@ -163,8 +163,8 @@ def _header_values(page: Page) -> Column:
         return strip(F.substring_index(F.substring_index(m["g0"], ":", 1), "=", 1))
 
     return each(
-        find_groups(page.html, AUTH_HEADER, ignore_case=True),
-        when=matches(page.fold, r"(?:authorization|-token|-key)\s*[=:]"),
+        find_groups(page.html, starting("xa", AUTH_HEADER), ignore_case=True),
+        when=contains_any(page.fold, "authorization", "-token", "-key"),
         keep=lambda m: F.length(m["g1"]) > 5,
         rule=5,
         type="parameter",

@@ -12,13 +12,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions.tables import table
-from ..functions.text import cut, find_all
+from ..functions.text import contains_any, cut, find_all, starting
 from .candidates import each, prefixed, together
 from .page import Page
 
 # (type, pattern, severity, plain texts of which the page must contain one)
 FORMATS = (
-    ("github_pat", r"gh[pousr]_[A-Za-z0-9]{36,}|github_pat_[A-Za-z0-9_]{22,}", "critical", ("gh", "github_pat_")),
+    ("github_pat", r"gh[pousr]_[A-Za-z0-9]{36,}|github_pat_[A-Za-z0-9_]{22,}", "critical", ("ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_")),
     ("gitlab_pat", r"glpat-[A-Za-z0-9_-]{20,}", "critical", ("glpat-",)),
     ("aws_access_key", r"(?:AKIA|ASIA)[A-Z0-9]{16}", "critical", ("AKIA", "ASIA")),
     ("stripe_key", r"(?:sk|rk)_(?:test|live)_[A-Za-z0-9]{24,}", "critical", ("k_test_", "k_live_")),
@@ -40,7 +40,7 @@ FORMATS = (
         "connection_string",
         r"(?:postgres(?:ql)?|mysql|mongodb(?:\+srv)?|redis|amqps?)://[^:@/ \t\r\n\"'<>]+:[^@/ \t\r\n\"'<>]+@[^ \t\r\n\"'<>]+",
         "critical",
-        ("://",),
+        ("postgres", "mysql", "mongodb", "redis", "amqp"),
     ),
 )
 # In script bodies: a variable named like a credential, given a long text of letters and digits.
@@ -89,10 +89,11 @@ def _secrets(page: Page, show: Callable[[Column], Column]) -> Column:
         once=True,
         metadata={"secret_type": lambda m: m["t"]["kind"]},
     )
-    assigned = F.flatten(F.transform(page.scripts, lambda s: find_all(s, VARIABLE, 1, ignore_case=True)))
+    assigned = F.flatten(F.transform(page.scripts, lambda s: find_all(s, starting("astpc", VARIABLE), 1, ignore_case=True)))
     by_variable = each(
         assigned,
-        when=F.size(page.scripts) > 0,
+        when=(F.size(page.scripts) > 0)
+        & contains_any(page.fold, "key", "secret", "token", "password", "passwd", "credential"),
         keep=lambda m: ~F.rlike(m, F.lit(_HASH))
         & F.rlike(m, F.lit("[0-9]"))
         & F.rlike(m, F.lit("[A-Za-z]"))
