@@ -146,7 +146,7 @@ def merge_candidates(arrays: Sequence[tuple[int, Column]], base: Column) -> Colu
 
 
 def first_candidates(candidates: str) -> Column:
-    """Drop candidates whose key equals their predecessor's. Linear, since the array is sorted."""
+    """Finding structs of a sorted candidates column, without those whose key equals their predecessor's."""
 
     def is_first(c: Column, i: Column) -> Column:
         before = F.get(F.col(candidates), i - 1)
@@ -157,31 +157,19 @@ def first_candidates(candidates: str) -> Column:
             | ~c["key"].eqNullSafe(before["key"])
         )
 
-    return F.filter(candidates, is_first)
+    def finished(c: Column) -> Column:
+        names = ("type", "value", "source", "severity", "context", "extractor_ord", "rule_ord", "match_ord")
+        return F.struct(*[c[n].alias(n) for n in names], F.map_from_entries(c["metadata"]).alias("metadata"))
+
+    return F.transform(F.filter(candidates, is_first), finished)
 
 
 def explode_candidates(pages: DataFrame, candidates: Column, keys: Sequence[str]) -> DataFrame:
     """Finding rows of the pages, from their merged candidates: the first-wins rule without a shuffle."""
-    ordered = pages.select(*keys, candidates.alias("candidates"))
-    # The filter stands inside the explode on purpose: over a plain attribute the optimizer would infer a
+    # The filter stands inside the generator on purpose: over a plain attribute the optimizer would infer a
     # not-empty predicate and push it below, computing everything twice.
     kept = per_session("first_candidates", lambda: first_candidates("candidates"))
-    rows = ordered.select(*keys, F.explode(kept).alias("f"))
-    return rows.select(
-        "site",
-        "url",
-        "page_id",
-        "f.type",
-        "f.value",
-        "f.source",
-        "f.severity",
-        "f.context",
-        F.map_from_entries("f.metadata").alias("metadata"),
-        "visit_order",
-        "f.extractor_ord",
-        "f.rule_ord",
-        "f.match_ord",
-    )
+    return pages.select(*keys, candidates.alias("candidates")).select(*keys, F.inline(kept))
 
 
 def prefixed(prefix: str, text: Column, length: int | None = None) -> Column:
