@@ -24,6 +24,7 @@ from sitesieve.plans import audit as au
 from sitesieve.plans import reachability as re_
 from sitesieve.plans import reports as rp
 from sitesieve.sources import captures as ca
+from sitesieve.sources.storage import settle
 
 from . import oracle as o
 from . import overlay as ov
@@ -365,8 +366,9 @@ add(
 )
 add(
     "json_report",
+    # Three parts of the report read the findings, so they are written once.
     lambda spark, sf: rp.json_reports(
-        findings(spark, sf),
+        settle(findings(spark, sf)),
         visited(spark, sf),
         ca.errors(ov.responses(spark, sf)),
         au.site_technologies(ov.responses(spark, sf)),

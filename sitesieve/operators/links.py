@@ -61,10 +61,13 @@ def tag_links(html: Column) -> Column:
     return F.filter(F.flatten(F.transform(tags, targets)), lambda v: v != "")
 
 
-def page_links(responses: DataFrame, follow_external: bool = False) -> DataFrame:
-    """``(site, url, link, position)``: addresses a page links to, first mention each; own site unless told otherwise."""
+def page_addresses(responses: DataFrame, follow_external: bool = False) -> DataFrame:
+    """``(site, url, visit_order, links)``: the addresses a page links to as an array, first mention each.
+
+    Addresses on other sites are left out unless ``follow_external`` is set.
+    """
     pages = responses.select(
-        "site", "url", url_parts(F.col("url")).alias("base"), F.coalesce("html", F.lit("")).alias("html")
+        "site", "url", "visit_order", url_parts(F.col("url")).alias("base"), F.coalesce("html", F.lit("")).alias("html")
     )
 
     def address(ref: Column) -> Column:
@@ -73,8 +76,14 @@ def page_links(responses: DataFrame, follow_external: bool = False) -> DataFrame
             lambda full: F.when(F.rlike(full, F.lit(r"(?i)^\s*https?:")), page_address(full)),
         )
 
-    resolved = F.array_distinct(F.array_compact(F.transform(tag_links(F.col("html")), address)))
-    links = pages.select("site", "url", F.posexplode(resolved).alias("position", "link"))
+    links = F.array_distinct(F.array_compact(F.transform(tag_links(F.col("html")), address)))
     if not follow_external:
-        links = links.where(site_of(F.col("link")) == F.col("site"))
-    return links.select("site", "url", "link", "position")
+        links = F.filter(links, lambda link: site_of(link) == F.col("site"))
+    return pages.select("site", "url", "visit_order", links.alias("links"))
+
+
+def page_links(responses: DataFrame, follow_external: bool = False) -> DataFrame:
+    """``(site, url, link, position)``, one row per address a page links to."""
+    pages = page_addresses(responses, follow_external)
+    links = F.transform("links", lambda link: link)
+    return pages.select("site", "url", F.posexplode(links).alias("position", "link"))

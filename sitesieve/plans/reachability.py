@@ -8,16 +8,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..operators.links import page_links
+from ..operators.links import page_addresses
 from ..sources.captures import analyzable
 from ..sources.storage import settle
 from .audit import first_pages
 
 
 def link_table(responses: DataFrame, follow_external: bool = False) -> DataFrame:
-    """``(url, link, position)`` of the analyzable pages, one row per pair of addresses."""
-    links = page_links(analyzable(responses), follow_external)
-    return links.groupBy("url", "link").agg(F.min("position").alias("position"))
+    """``(url, link, position)`` of the analyzable pages; of several captures of an address the first counts."""
+    pages = page_addresses(analyzable(responses), follow_external)
+    first = pages.groupBy("url").agg(F.min_by("links", F.struct("visit_order", "site")).alias("links"))
+    return first.select("url", F.posexplode(F.transform("links", lambda link: link)).alias("position", "link"))
 
 
 def reachable(
@@ -34,7 +35,8 @@ def reachable(
     once, at its smallest depth, whether or not it was captured. ``max_pages`` keeps the first so many per site in
     breadth-first order (``visit`` numbers them); ``None`` keeps all, and then ``visit`` is NULL.
 
-    One join per level against a link table that is written once. Every level is settled, so that the plan does not grow
+    One join per level against a link table that is written once; the level is the small side and is broadcast while its
+    measured size allows. Every level is settled, so that the plan does not grow
     and a lost executor costs at most one level.
     """
     links = settle(links)

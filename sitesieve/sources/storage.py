@@ -25,8 +25,12 @@ def settle(frame: DataFrame) -> DataFrame:
 
 
 def write_findings(findings: DataFrame, path: str) -> None:
-    """Findings as a table, one folder per type, so that reports on one type read only theirs."""
-    findings.write.mode("overwrite").partitionBy("type").parquet(path)
+    """Findings as a table, one folder per type, so that reports on one type read only theirs.
+
+    Rows are gathered by type before writing, or every task would write a file per type. A large type is split over as
+    many tasks as its measured size asks for.
+    """
+    findings.hint("rebalance", "type").write.mode("overwrite").partitionBy("type").parquet(path)
 
 
 def write_reports(reports: DataFrame, path: str) -> None:

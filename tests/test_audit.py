@@ -17,6 +17,7 @@ from sitesieve.operators.extract import extract
 from sitesieve.plans import audit as au
 from sitesieve.plans import reports as rp
 from sitesieve.plans.numbering import number_rows
+from sitesieve.plans.pipeline import run
 from sitesieve.schema import FINDING_COLUMNS
 from sitesieve.sources import captures as ca
 from sitesieve.sources.storage import settle, write_findings, write_reports
@@ -206,6 +207,55 @@ class TestAudit:
             registry.unregister("shouting")
 
 
+    def test_pipeline_stores_what_the_parts_compute(self, spark, responses, tmp_path):
+        frame = responses(
+            {"url": "https://a.org/1", "html": "jquery <a href='/x'>", "headers": {"Server": "nginx/1.2"}},
+            {"url": "https://a.org/2", "html": "/.git/config", "visit_order": 2},
+            {"url": "https://b.org/9", "error": "refused", "status": 0, "page_id": 9},
+        )
+        paths = run(frame, str(tmp_path))
+        stored = spark.read.parquet(paths["findings"])
+        columns = ["site", "type", "value", "source", "severity"]
+        direct = sorted(map(tuple, au.audit(frame).select(*columns).collect()))
+        assert sorted(map(tuple, stored.select(*columns).collect())) == direct
+        report = {r.meta.target: r for r in spark.read.json(paths["reports"]).collect()}
+        assert report["a.org"].meta.total_findings == len(direct)
+        assert [t.name for t in report["a.org"].tech_stack] == ["jQuery", "Nginx"]
+        assert (report["b.org"].meta.errors, report["b.org"].meta.urls_visited) == (1, 1)
+        score = spark.read.parquet(paths["scores"]).first()
+        assert score.score == rp.scores(stored).first().score
+
+
+class TestPlans:
+    """What must hold however large the tables and however uneven the sites are."""
+
+    def plan(self, frame):
+        return frame._jdf.queryExecution().executedPlan().toString()
+
+    def test_limited_lists_drop_rows_before_the_shuffle(self, findings):
+        frame = findings(finding(severity="high"))
+        for listed in (rp.issues(frame), rp.deductions(frame)):
+            plan = self.plan(listed)
+            assert plan.index("WindowGroupLimit") > plan.index("Window [")
+            partial = plan[plan.rindex("Exchange hashpartitioning(site") :]
+            assert "WindowGroupLimit" in partial and "Partial" in partial
+
+    def test_counts_are_aggregated_before_the_shuffle(self, findings):
+        frame = findings(finding())
+        for counted in (rp.scores(frame), rp.counts(frame), rp.section_counts(frame), rp.tiles(frame)):
+            assert "partial_count" in self.plan(counted)
+
+    def test_unlimited_lists_are_range_sorted(self, findings):
+        frame = findings(finding(severity="high"))
+        for listed in (rp.issues(frame, None), rp.section_listing(frame), rp.json_findings(frame)):
+            plan = self.plan(listed)
+            assert "rangepartitioning(site" in plan and "Window" not in plan
+
+    def test_no_cross_join_and_no_python_in_the_audit(self, responses):
+        plan = self.plan(au.audit(responses({"html": "x"})))
+        assert "CartesianProduct" not in plan and "NestedLoop" not in plan and "Python" not in plan
+
+
 class TestReports:
     def test_score(self, findings):
         rows = [finding(value=f"m{i}", severity="medium", ord=i) for i in range(7)]

@@ -51,6 +51,16 @@ def test_page_links(responses):
     assert [r.link for r in rows][1] == "https://o.org/y"
 
 
+def test_first_capture_of_an_address_counts(responses):
+    frame = responses(
+        {"url": "https://e.com/", "html": '<a href="/late">', "visit_order": 5},
+        {"url": "https://e.com/", "html": '<a href="/early"><a href="/too">', "visit_order": 2},
+        {"url": "https://e.com/", "html": '<a href="/failed">', "visit_order": 1, "status": 500},
+    )
+    rows = re_.link_table(frame).orderBy("position").collect()
+    assert [(r.position, r.link) for r in rows] == [(0, "https://e.com/early"), (1, "https://e.com/too")]
+
+
 def breadth_first(starts, graph, sitemaps, max_depth, max_pages, same_site):
     """Level by level, one address after the other, sitemap entries in front of level 1."""
     out = []
