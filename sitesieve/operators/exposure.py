@@ -63,7 +63,7 @@ def open_redirects(page: Page) -> Column:
     # All form targets of the page in one short text, on which the searches by parameter then run. A target may begin
     # at the quote that ends the one before, so neighbours of that kind are kept in one piece.
     targets = F.array_join(
-        find_all(page.html, r"""action=["'][^"']*(?:(?<=action=)["'][^"']*)*["']""", ignore_case=True), "\n"
+        find_all(page.html, r"""action=["'][^"']*(?:(?<=action=)["'][^"']*(?=["']))*+["']""", ignore_case=True), "\n"
     )
     has_form = contains_any(page.fold, "action=")
     has_call = contains_any(page.fold, "location") & matches(page.html, REDIRECT_CALL, ignore_case=True)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -59,6 +60,18 @@ LISTING = (
     r"nginx.*directory listing",
     r"<title>[^<]*Index of[^<]*</title>",
 )
+
+
+def _in_one_line(pattern: str) -> str:
+    """For a test only: the parts around ``.*`` in order on one line, each at its next place, once per line.
+
+    Equal to the pattern as a test, and linear on lines of any length.
+    """
+    parts = re.split(r"\.\*\??", pattern)
+    return "(?m:^" + "".join(f"(?>.*?{part})" for part in parts) + ")" if len(parts) > 1 else pattern
+
+
+_LISTING_TEST = "|".join(_in_one_line(p) for p in LISTING)
 ENVIRONMENT = r"(?:process\.env\.|import\.meta\.env\.)(\w+)"
 SOURCE_MAP = r"//#\s*sourceMappingURL=(\S+)"
 MAP_FILE = r"""["']([^"']*\.js\.map)["']"""
@@ -129,7 +142,7 @@ def directory_listing(page: Page) -> Column:
     gated = contains_any(page.fold, "index of", "parent directory", "../</a>", "directory listing", "apache")
     return singles(
         single(
-            gated & matches(page.html, "|".join(LISTING), ignore_case=True),
+            gated & matches(page.html, _LISTING_TEST, ignore_case=True),
             type="file",
             source="directory_listing",
             severity="high",

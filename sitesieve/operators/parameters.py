@@ -88,9 +88,12 @@ def _form_inputs(page: Page) -> Column:
 
 
 def _query_keys(page: Page) -> Column:
-    urls = F.filter(find_all(page.html, starting("h/", URL_WITH_QUERY)), lambda u: F.contains(u, F.lit("?")))
+    # No address crosses a blank, quote or angle bracket, so only the runs between these that hold a question mark are
+    # searched. Searching the page itself would scan a long run, such as an embedded image, once for each of its slashes.
+    runs = find_all(page.html, r"""(?<![^\s"'<>])[^\s"'<>?]*+\?[^\s"'<>]*+""")
+    urls = F.flatten(F.transform(runs, lambda run: find_all(run, URL_WITH_QUERY)))
     return each(
-        F.flatten(F.transform(urls, query_pairs)),
+        F.flatten(F.transform(F.filter(urls, lambda u: F.contains(u, F.lit("?"))), query_pairs)),
         when=contains_any(page.html, "?"),
         keep=lambda m: ~_listed(m["name"], IGNORED_PARAMETERS),
         rule=1,

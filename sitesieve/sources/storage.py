@@ -13,9 +13,10 @@ def settle(frame: DataFrame) -> DataFrame:
     The folder is the one the cluster names in ``spark.checkpoint.dir``. Only a local session without that setting gets a
     temporary one.
     """
-    context = frame.sparkSession.sparkContext
+    session = frame.sparkSession
+    context = session.sparkContext
     if context.getCheckpointDir() is None:
-        folder = context.getConf().get("spark.checkpoint.dir")
+        folder = session.conf.get("spark.checkpoint.dir", None)
         if folder is None:
             if not context.master.startswith("local"):
                 raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")

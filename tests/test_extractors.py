@@ -465,6 +465,20 @@ class TestHeaders:
         assert find("content_policy") == []
 
 
+def test_long_lines_stay_cheap(find):
+    """One line of two million characters, with many starts that lead nowhere."""
+    import time
+
+    blob = "ab/cd+" * 150_000
+    html = f'<img src="data:image/png;base64,{blob}"> <a href="/s?deep=1">x</a> Apache ' + "at the Apache " * 80_000
+    start = time.time()
+    assert values(find("parameters", html)) == ["deep"]
+    assert find("directory_listing", html) == []
+    assert values(find("directory_listing", html + "Port")) == ["https://example.com"]
+    assert find("open_redirects", "action=" + '"action=' * 50_000 + '"') == []
+    assert time.time() - start < 60
+
+
 def test_patterns_agree_with_python_on_random_markup(spark, find):
     """Pieces of markup in random order: the matches of the shared patterns are those of Python's engine."""
     import random
