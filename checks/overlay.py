@@ -12,6 +12,7 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sitesieve.functions.reuse import per_session
 from sitesieve.functions.urls import site_of
 from sitesieve.sources.captures import spread
 
@@ -212,8 +213,7 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def captures(pages: DataFrame) -> DataFrame:
-    """Responses: each page with its snippet and header profile."""
+def _capture_columns() -> list[Column]:
     snippets = F.array(*[F.lit(s) for s in SNIPPETS])
     profiles = F.from_json(
         F.lit(
@@ -224,7 +224,7 @@ def captures(pages: DataFrame) -> DataFrame:
         "array<struct<status:int,content_type:string,error:string,headers:map<string,string>>>",
     )
     profile = F.get(profiles, F.pmod("page_id", F.lit(len(PROFILES))).cast("int"))
-    return pages.select(
+    return [
         site_of(F.col("url")).alias("site"),
         "page_id",
         "url",
@@ -235,7 +235,12 @@ def captures(pages: DataFrame) -> DataFrame:
         profile["headers"].alias("headers"),
         F.concat("html", F.get(snippets, F.pmod("page_id", F.lit(len(SNIPPETS))).cast("int"))).alias("html"),
         profile["error"].alias("error"),
-    )
+    ]
+
+
+def captures(pages: DataFrame) -> DataFrame:
+    """Responses: each page with its snippet and header profile."""
+    return pages.select(*per_session("captures", _capture_columns))
 
 
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:

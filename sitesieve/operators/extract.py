@@ -36,7 +36,8 @@ def extract(responses: DataFrame, extractors: Sequence[str]) -> DataFrame:
 
     def candidates() -> Column:
         page = page_columns()
-        return merge_candidates([(e.order, e.extract(page)) for e in entries], page.base)
+        arrays = [(e.order, per_session(e, lambda e=e: e.extract(page))) for e in entries]
+        return merge_candidates(arrays, page.base)
 
     return explode_candidates(pages, per_session(entries, candidates), _KEYS)
 
