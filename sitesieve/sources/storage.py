@@ -1,30 +1,46 @@
-"""Sinks for findings and reports, and a place to cut long lineages."""
+"""Sinks for findings and reports, and places to cut long lineages."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def settle(frame: DataFrame) -> DataFrame:
-    """Write the rows to the checkpoint folder and go on from there.
+def shared_folder(session: SparkSession) -> str:
+    """The checkpoint folder of the session, which all executors share.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``. Only a local session without that setting gets a
-    temporary one.
+    It is the one the cluster names in ``spark.checkpoint.dir``. Only a local session without that setting, as in tests,
+    gets a temporary one.
     """
-    session = frame.sparkSession
     context = session.sparkContext
     if context.getCheckpointDir() is None:
         folder = session.conf.get("spark.checkpoint.dir", None)
         if folder is None:
-            if not context.master.startswith("local"):
+            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
                 raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
             folder = tempfile.mkdtemp(prefix="sitesieve-")
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def settle(frame: DataFrame) -> DataFrame:
+    """Write the rows to the checkpoint folder and go on from there; for small tables."""
+    shared_folder(frame.sparkSession)
     return frame.checkpoint(eager=True)
 
 
+def stored(frame: DataFrame, name: str = "table") -> DataFrame:
+    """Write the rows as compressed Parquet below the checkpoint folder and go on from there; for large tables.
+
+    Read again, the table has its true size for the planner, which a checkpointed frame has not.
+    """
+    path = f"{shared_folder(frame.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    frame.write.option("compression", "zstd").parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+
+
 def write_findings(findings: DataFrame, path: str) -> None:
     """Findings as a table, one folder per type, so that reports on one type read only theirs.
 
