@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, sharding, simhash, toxicity
+from . import mixing, sharding, simhash, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -50,7 +50,13 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = url_filter.judged(table(spark, sf_dir, "pages").select("page_id", "url"))
+    return found.select("page_id", "host", "path", "rule", "verdict")
+
+
 QUERIES["op2_source_mixing"] = op2_source_mixing
 QUERIES["op5_sharding"] = op5_sharding
 QUERIES["op7_simhash_near_dedup"] = op7_simhash_near_dedup
 QUERIES["op8_toxicity"] = op8_toxicity
+QUERIES["op10_url_filter"] = op10_url_filter
