@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, sharding, simhash, suffix_dedup, toxicity, url_filter
+from . import mixing, neighbours, sharding, simhash, suffix_dedup, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -27,6 +27,11 @@ def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return neighbours.nearest(vectors, vectors.filter("vec_id % 20 = 0"))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_rows(table(spark, sf_dir, "documents"))
 
@@ -62,6 +67,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["op1_suffix_dedup"] = op1_suffix_dedup
 QUERIES["op2_source_mixing"] = op2_source_mixing
+QUERIES["op3_nearest_neighbours"] = op3_nearest_neighbours
 QUERIES["op5_sharding"] = op5_sharding
 QUERIES["op7_simhash_near_dedup"] = op7_simhash_near_dedup
 QUERIES["op8_toxicity"] = op8_toxicity
