@@ -215,3 +215,54 @@ def mixed_documents(documents: DataFrame, block: int = BLOCK, seed: int = SEED)
     if "n_chars" in documents.columns:
         out = out.withColumn("n_chars", F.length("text").cast(documents.schema["n_chars"].dataType))
     return out.select(documents.columns)
+
+
+#: The same mix in SQL: the level of the targets from running sums, and all quotients ranked.
+ORACLE = r"""
+WITH d AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+    md5('20:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS place, md5(coalesce(text, '')) AS digest
+  FROM documents
+), s AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS rank
+  FROM d GROUP BY source
+), w AS (
+  SELECT *, CASE (rank - 1) % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END AS weight FROM s
+), f AS (
+  SELECT *, row_number() OVER r AS k,
+    CAST(3 * sum(source_size) OVER () - 2 * (sum(2 * source_size) OVER r - 2 * source_size) AS BIGINT) AS above,
+    CAST(2 * (sum(weight) OVER () - (sum(weight) OVER r - weight)) AS BIGINT) AS below
+  FROM w WINDOW r AS (ORDER BY 2 * source_size / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+), l AS (
+  SELECT min(k) AS k, CAST(min_by(above, k) AS DOUBLE) / CAST(min_by(below, k) AS DOUBLE) AS level
+  FROM f WHERE CAST(2 * source_size AS HUGEINT) * below > CAST(weight AS HUGEINT) * above
+), t AS (
+  SELECT f.source, source_size, rank,
+    CASE WHEN l.k IS NULL OR f.k < l.k THEN CAST(2 * source_size AS DOUBLE) ELSE level * weight END AS target,
+    CAST(ceil(source_size / 64) AS BIGINT) AS blocks
+  FROM f, l
+), q AS (
+  SELECT rank, row_number() OVER (ORDER BY target / (2 * j + 1) DESC, rank, j) AS seat
+  FROM (SELECT rank, target, unnest(range(0, 2 * blocks + 3)) AS j FROM t WHERE target > 0)
+), u AS (
+  SELECT t.source, source_size, target, blocks, least(2 * blocks, coalesce(won, 0)) AS quota,
+    CASE WHEN blocks > 0 THEN CAST('0x' || substr(md5('20/' || coalesce(t.source, '')), 1, 8) AS BIGINT) % blocks END AS start
+  FROM t LEFT JOIN (
+    SELECT rank, count(*) AS won FROM q WHERE seat <= (SELECT CAST(floor(sum(target) / 64 + 0.5) AS BIGINT) FROM t) GROUP BY rank
+  ) USING (rank)
+), p AS (
+  SELECT doc_id, size, source_size, target, blocks, CAST(start AS HUGEINT) AS start, quota // blocks AS passes, quota % blocks AS rest,
+    coalesce(sum(size) OVER (
+      PARTITION BY d.source ORDER BY place, size, digest ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS low
+  FROM d JOIN u ON d.source IS NOT DISTINCT FROM u.source
+), c AS (
+  SELECT *, unnest([low, low + size]) AS words, unnest([-1, 1]) AS sign, unnest([1, 0]) AS once FROM p
+), n AS (
+  SELECT *, words // 64 AS whole FROM c
+)
+SELECT doc_id, size, source_size, target, CAST(sum(CASE WHEN blocks > 0 THEN once * passes * size + sign * (
+    ((whole + start) * rest // blocks - start * rest // blocks) * 64
+    + ((whole + 1 + start) * rest // blocks - (whole + start) * rest // blocks) * (words - whole * 64)
+  ) ELSE 0 END) AS BIGINT) AS taken
+FROM n GROUP BY doc_id, size, source_size, target, low
+"""

@@ -77,6 +77,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["op1_suffix_dedup"] = op1_suffix_dedup
 QUERIES["op2_source_mixing"] = op2_source_mixing
+SQL["op2_source_mixing"] = mixing.ORACLE
 QUERIES["op3_nearest_neighbours"] = op3_nearest_neighbours
 QUERIES["op4_line_dedup"] = op4_line_dedup
 SQL["op4_line_dedup"] = line_dedup.ORACLE
