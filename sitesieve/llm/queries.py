@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, line_dedup, mixing, neighbours, sharding, simhash, suffix_dedup, toxicity, url_filter
+from . import decontamination, license_scan, line_dedup, mixing, neighbours, sharding, simhash, suffix_dedup, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -50,6 +50,10 @@ def shard_rows(documents: DataFrame) -> DataFrame:
     )
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.licences(table(spark, sf_dir, "documents"))
+
+
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -82,6 +86,7 @@ QUERIES["op3_nearest_neighbours"] = op3_nearest_neighbours
 QUERIES["op4_line_dedup"] = op4_line_dedup
 SQL["op4_line_dedup"] = line_dedup.ORACLE
 QUERIES["op5_sharding"] = op5_sharding
+QUERIES["op6_license_scan"] = op6_license_scan
 QUERIES["op7_simhash_near_dedup"] = op7_simhash_near_dedup
 QUERIES["op8_toxicity"] = op8_toxicity
 QUERIES["op9_decontamination"] = op9_decontamination

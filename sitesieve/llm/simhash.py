@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from ..sources.storage import stored
 from .components import components
+from .keys import text_key
 
 SHINGLE = 3
 BITS = 3
@@ -61,15 +62,18 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> i
 
 
 def fingerprints(documents: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """``doc_id`` and ``fp``, the fingerprint as a signed number, of every document."""
+    """``doc_id``, ``k1``, ``k2`` (the text's name) and ``fp``, the fingerprint as a signed number, of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.array([fingerprint(t.as_py(), shingle, seed) for t in batch.column(1)], dtype=np.uint64)
-            yield pa.record_batch([batch.column(0), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
+            columns = [batch.column(0), *batch.columns[2:], pa.array(found.view(np.int64))]
+            yield pa.record_batch(columns, names=["doc_id", "k1", "k2", "fp"])
 
-    narrow = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return narrow.mapInArrow(run, "doc_id long, fp long")
+    narrow = documents.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *text_key()
+    )
+    return narrow.mapInArrow(run, "doc_id long, k1 long, k2 long, fp long")
 
 
 def _filed(nodes: DataFrame, bits: int) -> DataFrame:
@@ -202,12 +206,29 @@ def links(nodes: DataFrame, bits: int = BITS, crowd: int = CROWD) -> DataFrame:
 def near_duplicates(
     documents: DataFrame, shingle: int = SHINGLE, bits: int = BITS, seed: int = SEED, crowd: int = CROWD
 ) -> DataFrame:
-    """``doc_id``, ``fp`` and ``component_id``, the smallest ``doc_id`` of the class, of every document."""
+    """``doc_id``, ``k1``, ``k2``, ``fp``, ``root`` and ``component_id`` of every document: the smallest fingerprint and the
+    smallest ``doc_id`` of its class.
+    """
     prints = stored(fingerprints(documents, shingle, seed), "fingerprints")
     nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
     roots = components(links(nodes.select("fp"), bits, crowd))
     rooted = nodes.join(roots, nodes["fp"] == roots["node"], "left")
     rooted = stored(rooted.select("fp", "first", F.coalesce("root", "fp").alias("root")), "roots")
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    classes = rooted.join(least, "root").select("fp", "component_id")
-    return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
+    classes = rooted.join(least, "root").select("fp", "root", "component_id")
+    return prints.join(classes, "fp").select("doc_id", "k1", "k2", "fp", "root", "component_id")
+
+
+def one_of_each(documents: DataFrame, shingle: int = SHINGLE, bits: int = BITS, seed: int = SEED) -> DataFrame:
+    """``documents`` with one row of each class: that of the smallest ``doc_id`` (null last), then of the smallest text name."""
+    found = near_duplicates(documents, shingle, bits, seed)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("_null"), "doc_id", "k1", "k2")).alias("at")
+    kept = found.groupBy("root").agg(first).select(F.col("at.doc_id").alias("_id"), "at.k1", "at.k2")
+    keyed = documents.withColumns(dict(zip(("_k1", "_k2"), text_key(), strict=True)))
+    met = keyed.join(
+        kept,
+        (F.col("_k1") == F.col("k1")) & (F.col("_k2") == F.col("k2")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_id")),
+        "left_semi",
+    )
+    # Repeated rows of one document and text.
+    return met.dropDuplicates(["_k1", "_k2", "doc_id"]).select(documents.columns)
