@@ -8,14 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitesieve.llm import decontamination, mixing, simhash, toxicity
+from sitesieve.llm.keys import boxed
 from sitesieve.llm.queries import shard_rows, table
 from sitesieve.sources.storage import stored
 
 
 def clean_of_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxic passages give them a probability below the threshold."""
-    judged = toxicity.scored(docs, table(spark, sf_dir, "labels"))
-    return judged.filter(F.col("toxicity.score") < toxicity.THRESHOLD).select(docs.columns)
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    judged = boxed(docs, toxicity.judge(model).alias("toxicity"))
+    return judged.filter(F.col("toxicity.score") < toxicity.THRESHOLD).select("row.*")
 
 
 def near_deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

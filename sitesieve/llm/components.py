@@ -23,7 +23,7 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """``node`` and ``root`` (smallest node of its component) of every node that has an edge to another node.
+    """``node`` and ``root`` (smallest node of its component) of every node with an edge, but the roots.
 
     The minimum per node is aggregated before the shuffle, so a node with very many neighbours is no burden; every round is
     written to the shared folder. The number of rounds grows with the logarithm of the longest path.

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Bytes that part words: space, tab, newline, vertical tab, form feed, carriage return.
@@ -19,6 +19,11 @@ def text_key(text: str = "text") -> tuple[Column, Column]:
     return F.xxhash64(body).alias("k1"), F.xxhash64(F.lit(1), body).alias("k2")
 
 
+def boxed(frame: DataFrame, *columns: Column) -> DataFrame:
+    """The rows as one struct ``row`` beside ``columns``, so that no name of theirs can clash with one of an operator."""
+    return frame.select(F.struct("*").alias("row"), *columns)
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z in lower case, every other letter as it is."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -8,7 +8,8 @@ every document loses them.
 Counting sees only hashes and sites. The one shuffle of texts is that in which documents meet the list of the lines they lose.
 
 Nulls: a null text has no lines and stays null; a null source is no site. Repeated rows count as what they are: more lines of the
-same site. Sites that differ only in case are different. An empty table gives no rows. Extra columns are carried along.
+same site. Sites that differ only in case are different. An empty table gives no rows. Extra columns are carried along,
+but for those of the names ``n_lines`` and ``n_removed``, which are replaced.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.storage import stored
-from .keys import text_key
+from .keys import boxed, text_key
 
 SITES = 5
 #: Sketch of 2^LOG registers; its standard error is 1.04 / sqrt(2^LOG).
@@ -61,21 +62,22 @@ def without_boilerplate(
     common = boilerplate(marked, sites, log, margin).select("line")
     lost = marked.select("line", "k1", "k2").join(common, "line").groupBy("k1", "k2")
     lost = lost.agg(F.collect_set("line").alias("_lost"))  # bounded by the lines of a text
-    own = documents.columns
-    keyed = documents.withColumns(dict(zip(("_k1", "_k2"), text_key(), strict=True)))
+    k1, k2 = text_key()
+    keyed = boxed(documents, F.col("text"), k1.alias("_k1"), k2.alias("_k2"))
     met = keyed.join(lost, (F.col("_k1") == F.col("k1")) & (F.col("_k2") == F.col("k2")), "left")
     full = F.filter(lines(), lambda x: F.btrim(x, F.lit(" \t\r\x0b\x0c")) != "")
     keeps = lambda x: F.coalesce(~F.array_contains("_lost", line_hash(x)), F.lit(True))
+    own = [c for c in documents.columns if c not in ("n_lines", "n_removed")]
     out = met.withColumns(
         {
-            "_text": F.when(F.col("_lost").isNull(), F.col("text")).otherwise(
+            "_kept": F.when(F.col("_lost").isNull(), F.col("text")).otherwise(
                 F.array_join(F.filter(lines(), lambda x: (F.btrim(x, F.lit(" \t\r\x0b\x0c")) == "") | keeps(x)), "\n")
             ),
             "_lines": F.coalesce(F.size(full), F.lit(0)).cast("long"),
             "_removed": F.coalesce(F.size(F.filter(full, lambda x: ~keeps(x))), F.lit(0)).cast("long"),
         }
     )
-    kept = [F.col("_text").alias("text") if c == "text" else F.col(c) for c in own if c not in ("n_lines", "n_removed")]
+    kept = [F.col("_kept").alias("text") if c == "text" else F.col("row")[c].alias(c) for c in own]
     return out.select(*kept, F.col("_lines").alias("n_lines"), F.col("_removed").alias("n_removed"))
 
 

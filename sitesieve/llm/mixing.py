@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from ..plans.numbering import number_rows
 from ..sources.storage import settle, stored
-from .keys import SPACES, WORD
+from .keys import SPACES, WORD, boxed
 
 WEIGHTS = (3, 1, 2)
 #: Share of all words that the mix takes, as a fraction.
@@ -186,14 +186,19 @@ def mixed_documents(documents: DataFrame, block: int = BLOCK, seed: int = SEED)
         "blocks", "_rest", "_start",
     ).withColumn("_copy", F.row_number().over(W.partitionBy("_id", "_source", "_text").orderBy("offset")))
     # Equal rows are told apart by number, so that each meets its own line of the plan.
-    numbered = documents.withColumn("_digest", F.md5(F.coalesce("text", F.lit("")).cast("binary")))
-    numbered = numbered.withColumn(
-        "_nth", F.row_number().over(W.partitionBy("doc_id", "source", "_digest").orderBy(F.lit(0)))
+    numbered = boxed(
+        documents,
+        F.col("text"),
+        F.col("doc_id").cast("long").alias("doc_id"),
+        F.col("source").cast("string").alias("source"),
+        F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("_digest"),
     )
+    same = W.partitionBy("doc_id", "source", "_digest").orderBy(F.lit(0))
+    numbered = numbered.withColumn("_nth", F.row_number().over(same))
     met = numbered.join(
         plan,
-        F.col("doc_id").cast("long").eqNullSafe(F.col("_id"))
-        & F.col("source").cast("string").eqNullSafe(F.col("_source"))
+        F.col("doc_id").eqNullSafe(F.col("_id"))
+        & F.col("source").eqNullSafe(F.col("_source"))
         & (F.col("_digest") == F.col("_text"))
         & (F.col("_nth") == F.col("_copy")),
     )
@@ -211,10 +216,12 @@ def mixed_documents(documents: DataFrame, block: int = BLOCK, seed: int = SEED)
     extra = F.col("taken") - F.col("passes") * F.col("size")
     again = F.when(extra >= F.col("size"), F.col("text")).when(extra > 0, rest)
     copies = F.concat(F.array_repeat("text", F.col("passes").cast("int")), F.array_compact(F.array(again)))
-    out = met.withColumn("text", F.explode(copies))
-    if "n_chars" in documents.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(documents.schema["n_chars"].dataType))
-    return out.select(documents.columns)
+    out = met.select("row", F.explode(copies).alias("text"))
+    new = {"text": F.col("text"), "n_chars": F.length("text")}
+    return out.select([
+        new[f.name].cast(f.dataType).alias(f.name) if f.name in new else F.col("row")[f.name].alias(f.name)
+        for f in documents.schema
+    ])
 
 
 #: The same mix in SQL: the level of the targets from running sums, and all quotients ranked.

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from ..sources.storage import stored
 from .components import components
-from .keys import text_key
+from .keys import boxed, text_key
 
 SHINGLE = 3
 BITS = 3
@@ -224,11 +224,8 @@ def one_of_each(documents: DataFrame, shingle: int = SHINGLE, bits: int = BITS,
     found = near_duplicates(documents, shingle, bits, seed)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("_null"), "doc_id", "k1", "k2")).alias("at")
     kept = found.groupBy("root").agg(first).select(F.col("at.doc_id").alias("_id"), "at.k1", "at.k2")
-    keyed = documents.withColumns(dict(zip(("_k1", "_k2"), text_key(), strict=True)))
-    met = keyed.join(
-        kept,
-        (F.col("_k1") == F.col("k1")) & (F.col("_k2") == F.col("k2")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_id")),
-        "left_semi",
-    )
+    k1, k2 = text_key()
+    keyed = boxed(documents, k1.alias("_k1"), k2.alias("_k2"), F.col("doc_id").cast("long").alias("doc_id"))
+    same = (F.col("_k1") == F.col("k1")) & (F.col("_k2") == F.col("k2")) & F.col("doc_id").eqNullSafe(F.col("_id"))
     # Repeated rows of one document and text.
-    return met.dropDuplicates(["_k1", "_k2", "doc_id"]).select(documents.columns)
+    return keyed.join(kept, same, "left_semi").dropDuplicates(["_k1", "_k2", "doc_id"]).select("row.*")

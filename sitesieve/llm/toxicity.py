@@ -177,7 +177,8 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     rows = rows.groupBy("_id").agg(F.max("_label").alias("_label"))
     # At most ``sample`` narrow rows, so they may be sent to every executor; the texts are not moved.
     rows = F.broadcast(rows.orderBy(F.xxhash64("_id"), "_id").limit(sample))
-    learned = documents.join(rows, documents["doc_id"].cast("long") == rows["_id"])
+    texts = documents.select("text", F.col("doc_id").cast("long").alias("doc_id"))
+    learned = texts.join(rows, F.col("doc_id") == F.col("_id"))
     learned = learned.select(
         F.col("text").cast("string").alias("text"), F.col("_label").cast("long"), (remainder("_id") == 3).alias("_late")
     )
@@ -255,5 +256,5 @@ def judge(model: Model, text: str = "text") -> Column:
 
 
 def scored(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """``documents`` with a struct ``toxicity``: ``score`` and ``passages``."""
+    """``documents`` with a struct ``toxicity``, which replaces a column of that name: ``score`` and ``passages``."""
     return documents.withColumn("toxicity", judge(fit(documents, labels, sample)))

@@ -86,18 +86,17 @@ def matched(rules: tuple[tuple[str, str, str], ...], of: str) -> Column:
     return found
 
 
+def _runs(whole: Column, mark: str, n: int) -> Column:
+    last = F.length(whole) - n + 1
+    places = F.sequence(F.lit(1), F.greatest(last, F.lit(1)))
+    runs = F.transform(places, lambda i: F.concat(F.lit(mark), F.substring(whole, i, F.lit(n))))
+    return F.when(last >= 1, runs).otherwise(F.array().cast("array<string>"))
+
+
 def _grams(part: Column, mark: str) -> list[Column]:
-    """The n-grams of a part with its ends marked; a part of any length has a bounded number per letter."""
+    """The n-grams of a part with its ends marked."""
     whole = F.concat(F.lit(mark), part, F.lit("$"))
-    return [
-        F.when(
-            F.length(whole) >= n,
-            F.transform(F.sequence(F.lit(1), F.greatest(F.length(whole) - n + 1, F.lit(1))), lambda i, n=n: F.concat(
-                F.lit(mark), F.substring(whole, i, F.lit(n))
-            )),
-        ).otherwise(F.array().cast("array<string>"))
-        for n in GRAMS
-    ]
+    return [_runs(whole, mark, n) for n in GRAMS]
 
 
 def grams() -> Column:
@@ -127,7 +126,9 @@ def judged(
     """``pages`` with ``host``, ``path``, ``rule``, ``blocking`` (the classifier's probability) and ``verdict``."""
     model = model or trained(pages.sparkSession)
     own = [c for c in pages.columns if c not in ("host", "path", "rule", "blocking", "verdict", "grams", "features")]
-    parts = pages.select(*own, host(F.col("url")).alias("host"), path(F.col("url")).alias("path"))
+    # A row's host and path are made before its n-grams, or Spark would make them again for each.
+    both = F.struct(host(F.col("url")).alias("host"), path(F.col("url")).alias("path"))
+    parts = pages.select(*own, F.explode(F.array(both)).alias("_parts")).select(*own, "_parts.host", "_parts.path")
     scored = model.transform(parts.withColumn("grams", grams()))
     return scored.withColumn("blocking", vector_to_array("probability")[1]).select(
         *own,
