@@ -19,6 +19,16 @@ def text_key(text: str = "text") -> tuple[Column, Column]:
     return F.xxhash64(body).alias("k1"), F.xxhash64(F.lit(1), body).alias("k2")
 
 
+def share_of(mark: Column, wanted: int, total: int) -> Column:
+    """Whether a row's 64-bit hash is among about ``wanted`` of ``total``; all rows if there are no more than that.
+
+    A threshold needs no sort, so a small sample of a large table is drawn where the rows are.
+    """
+    if total <= wanted:
+        return F.lit(True)
+    return F.pmod(mark, F.lit(1 << 40)) < F.lit(max(1, wanted * (1 << 40) // total))
+
+
 def boxed(frame: DataFrame, *columns: Column) -> DataFrame:
     """The rows as one struct ``row`` beside ``columns``, so that no name of theirs can clash with one of an operator."""
     return frame.select(F.struct("*").alias("row"), *columns)

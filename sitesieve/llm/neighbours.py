@@ -32,6 +32,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..sources.storage import stored
+from .keys import share_of
 
 AXES = 16
 NEAREST = 20
@@ -276,9 +277,11 @@ def nearest(
     number, longest = rows.agg(F.count("*"), F.sqrt(F.max(square))).first()
     across = directions(size + 1, axes, seed)
     reach = chi_square_quantile(1 - miss, axes)
-    # The top of the tree, from a bounded sample: the first vectors in the order of a hash of their ids.
+    # The top of the tree, from a bounded sample by a hash of the ids.
     cells = 2 ** max(0, math.ceil(math.log2(number / cell_size)))
-    drawn = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("vec_id", "v") if cells > 1 else None
+    mark = F.xxhash64("vec_id")
+    some = rows.filter(share_of(mark, sample, number)).orderBy(mark, "vec_id").limit(sample)
+    drawn = some.select("vec_id", "v") if cells > 1 else None
     cuts: list[tuple[int, float]] = []
     if drawn is not None:
         p = drawn.mapInArrow(_projected(across, longest, [], 1, {}), _POINT).select("p").toPandas()["p"]

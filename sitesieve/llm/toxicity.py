@@ -10,8 +10,7 @@
    on labelled documents that gave no counts.
 
 Labels are learned only from rows whose crc32 of ``doc_id`` as text has a remainder by 4 other than 2. The curve is fitted on
-those of remainder 3 under the log-odds of the others; then those of remainder 3 join the log-odds. The model is fitted on at most ``SAMPLE`` labelled rows, the first in the order of a hash of their
-``doc_id``, and has at most ``TOKENS`` tokens. Only the text enters a score.
+those of remainder 3 under the log-odds of the others; then those of remainder 3 join the log-odds. The model is fitted on at most ``SAMPLE`` labelled rows, drawn by a hash of their ``doc_id``, and has at most ``TOKENS`` tokens. Only the text enters a score.
 
 Nulls: a null text scores like an empty one, which has no passage and the probability of such documents; a null ``doc_id`` is
 scored, never learned from, and not held out. Labels that are null or neither 0 nor 1 are left out; of several labels of a
@@ -31,7 +30,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.storage import stored
+from ..sources.storage import settle, stored
+from .keys import share_of
 
 SAMPLE = 20_000
 TOKENS = 20_000
@@ -176,7 +176,9 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     rows = rows.filter(F.col("_label").isin(0, 1) & (remainder("_id") != 2))
     rows = rows.groupBy("_id").agg(F.max("_label").alias("_label"))
     # At most ``sample`` narrow rows, so they may be sent to every executor; the texts are not moved.
-    rows = F.broadcast(rows.orderBy(F.xxhash64("_id"), "_id").limit(sample))
+    mark = F.xxhash64("_id")
+    rows = rows.filter(share_of(mark, sample, rows.count())).orderBy(mark, "_id").limit(sample)
+    rows = F.broadcast(settle(rows))
     texts = documents.select("text", F.col("doc_id").cast("long").alias("doc_id"))
     learned = texts.join(rows, F.col("doc_id") == F.col("_id"))
     learned = learned.select(
