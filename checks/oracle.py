@@ -844,12 +844,12 @@ def site_documents() -> str:
     sitemap_docs AS (SELECT site, replace(u, '{{site}}', site) AS sitemap_url, status, replace(c, '{{site}}', site)
       AS content FROM sites CROSS JOIN {values(documents)} AS d(u, status, c)),
     requests AS (SELECT site, unnest(range(len(l))) AS position, unnest(l) AS sitemap_url FROM (SELECT site,
-      regexp_extract_all(content, 'Sitemap:\\s*(\\S+)', 1, 'i')[1:5] AS l FROM robots)
-      UNION ALL SELECT site, 5, base_url || '/sitemap.xml' FROM sites),
+      regexp_extract_all(content, 'Sitemap:\\s*(\\S+)', 1, 'i') AS l FROM robots)
+      UNION ALL SELECT site, 2147483647, base_url || '/sitemap.xml' FROM sites),
     fetched AS (SELECT site, sitemap_url, position, content FROM requests JOIN sitemap_docs USING (site, sitemap_url)
       WHERE status = 200),
-    located AS (SELECT site, sitemap_url, position, len(l) AS parsed, unnest(l[1:200]) AS url,
-      unnest(range(len(l[1:200]))) AS pos FROM (SELECT *, regexp_extract_all(content, '<loc>\\s*([^\\n]*?)\\s*</loc>', 1)
+    located AS (SELECT site, sitemap_url, position, len(l) AS parsed, unnest(l) AS url,
+      unnest(range(len(l))) AS pos FROM (SELECT *, regexp_extract_all(content, '<loc>\\s*([^\\n]*?)\\s*</loc>', 1)
       AS l FROM fetched)),
     sitemap_urls AS (SELECT * FROM located WHERE regexp_extract(url, '^[a-zA-Z]+://([^/?#]*)', 1) = site)"""
 

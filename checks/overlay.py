@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 from sitesieve.functions.reuse import per_session
 from sitesieve.functions.urls import site_of
-from sitesieve.sources.captures import spread
 
 
 def _part(value: object) -> str:
@@ -244,7 +243,7 @@ def captures(pages: DataFrame) -> DataFrame:
 
 
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return captures(spread(load(spark, sf_dir, "pages")))
+    return captures(load(spark, sf_dir, "pages"))
 
 
 def _site_documents(spark: SparkSession, sf_dir: str) -> DataFrame:

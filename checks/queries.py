@@ -213,7 +213,7 @@ def _reachable(follow_external: bool, max_pages: int | None = None) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         graph = ov.link_graph(spark, sf_dir)
         links = re_.link_table(graph, follow_external)
-        found = re_.reachable(re_.start_pages(graph), links, max_pages=max_pages)
+        found = re_.reachable(re_.start_pages(graph), links, max_depth=3, max_pages=max_pages)
         return found.select("site", "url", "depth") if max_pages is None else found
 
     return query

@@ -17,8 +17,8 @@ SITEMAP = r"Sitemap:\s*(\S+)"
 REMARK = r"#\s*(.+)"
 REMARK_WORDS = ("api", "admin", "debug", "test", "internal", " staging")
 LOCATION = r"<loc>\s*(.*?)\s*</loc>"
-SITEMAPS_PER_ROBOTS = 5
-LOCATIONS_PER_SITEMAP = 200
+#: Place of a site's default sitemap: after all that robots.txt names.
+LAST = 2**31 - 1
 
 _KEYS = ("site", "url", "page_id", "visit_order")
 
@@ -69,16 +69,20 @@ def _robots_candidates() -> Column:
     return merge_candidates([(0, together(disallowed, sitemaps, remarks))], F.col("base"))
 
 
-def sitemap_requests(robots: DataFrame, sites: DataFrame) -> DataFrame:
-    """``(site, sitemap_url, position)``: the first sitemaps robots.txt names, then the default address of every site.
+def _first(found: Column, limit: int | None) -> Column:
+    return found if limit is None else F.slice(found, F.lit(1), F.lit(limit))
 
-    ``sites`` is ``(site, base_url)``.
+
+def sitemap_requests(robots: DataFrame, sites: DataFrame, limit: int | None = None) -> DataFrame:
+    """``(site, sitemap_url, position)``: the sitemaps robots.txt names, then the default address of every site.
+
+    ``sites`` is ``(site, base_url)``. ``limit`` keeps the first so many of a robots.txt, as a polite fetcher would.
     """
-    named = F.slice(find_all(F.col("content"), SITEMAP, 1, ignore_case=True), F.lit(1), F.lit(SITEMAPS_PER_ROBOTS))
+    named = _first(find_all(F.col("content"), SITEMAP, 1, ignore_case=True), limit)
     listed = robots.select("site", F.posexplode(named).alias("position", "sitemap_url"))
     default = sites.select(
         "site",
-        F.lit(SITEMAPS_PER_ROBOTS).alias("position"),
+        F.lit(LAST).alias("position"),
         url_join(url_parts(F.col("base_url")), F.lit("/sitemap.xml")).alias("sitemap_url"),
     )
     return listed.select("site", "sitemap_url", "position").union(default.select("site", "sitemap_url", "position"))
@@ -94,26 +98,21 @@ def _locations() -> Column:
     return find_all(F.coalesce("content", F.lit("")), LOCATION, 1)
 
 
-def sitemap_urls(fetched: DataFrame) -> DataFrame:
-    """``(site, sitemap_url, position, pos, url)``: listed pages of the own site, in order."""
-    first = F.slice(_locations(), F.lit(1), F.lit(LOCATIONS_PER_SITEMAP))
+def sitemap_urls(fetched: DataFrame, limit: int | None = None) -> DataFrame:
+    """``(site, sitemap_url, position, pos, url)``: listed pages of the own site, in order; of the first ``limit`` listed."""
+    first = _first(_locations(), limit)
     rows = fetched.select("site", "sitemap_url", "position", F.posexplode(first).alias("pos", "url"))
     return rows.where(site_of(F.col("url")) == F.col("site"))
 
 
-def sitemap_findings(fetched: DataFrame) -> DataFrame:
-    """One finding per sitemap that lists pages of the site, with their number."""
+def sitemap_findings(fetched: DataFrame, limit: int | None = None) -> DataFrame:
+    """One finding per sitemap that lists pages of the site among the first ``limit``, with their number."""
     counted = fetched.select(
         "site",
         F.col("sitemap_url").alias("url"),
         "position",
         F.size(_locations()).alias("parsed"),
-        F.size(
-            F.filter(
-                F.slice(_locations(), F.lit(1), F.lit(LOCATIONS_PER_SITEMAP)),
-                lambda u: site_of(u) == F.col("site"),
-            )
-        ).alias("queued"),
+        F.size(F.filter(_first(_locations(), limit), lambda u: site_of(u) == F.col("site"))).alias("queued"),
     ).where("queued > 0")
     return counted.select(
         "site",

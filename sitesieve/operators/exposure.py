@@ -23,9 +23,10 @@ from .page import Page
 
 # Word lists and patterns.
 REDIRECT_PARAMETERS = (
-    "redirect redirect_url redirect_uri return_url return_to next continue dest destination redir redirect_to goto url "
-    "link go out view to ref rurl return returnTo checkout_url return_uri"
-).split()
+    "redirect", "redirect_url", "redirect_uri", "return_url", "return_to", "next", "continue", "dest", "destination",
+    "redir", "redirect_to", "goto", "url", "link", "go", "out", "view", "to", "ref", "rurl", "return", "returnTo",
+    "checkout_url", "return_uri",
+)
 REDIRECT_CALL = r"(?:window\.location|location\.href|location\.replace|location\.assign)\s*[=(]\s*['\"`]"
 CREDENTIALS = (
     r"(?:https?://)([a-zA-Z0-9._-]{3,}):([a-zA-Z0-9._-]{3,})@([a-zA-Z0-9._-]+\.[a-zA-Z]{2,})"
@@ -50,9 +51,9 @@ GRAPHQL_SIGNS = (
 )
 COMMENT = r"<!--((?s:.)*?)-->"
 COMMENT_WORDS = (
-    "todo fixme hack bug password secret token api key admin debug test internal staging deprecated remove delete temp "
-    "temporary"
-).split()
+    "todo", "fixme", "hack", "bug", "password", "secret", "token", "api", "key", "admin", "debug", "test", "internal",
+    "staging", "deprecated", "remove", "delete", "temp", "temporary",
+)
 JWT = r"eyJ[a-zA-Z0-9_-]{10,}\.[a-zA-Z0-9_-]{10,}\.[a-zA-Z0-9_-]{10,}"
 HMAC_ALGORITHMS = ("HS256", "HS384", "HS512")
 CSRF_FIELD = r"""name=["'](?:csrf|_token|csrf_token|authenticity_token|__RequestVerificationToken)"""
@@ -290,7 +291,7 @@ def forms(page: Page) -> Column:
             source="file_upload",
             severity="medium",
             value="File upload form detected",
-            context="Test for: unrestricted file upload, path traversal, polyglots",
+            context="Which types, names and sizes the server takes is worth a look",
         ),
         single(
             contains_any(page.fold, "name=") & matches(page.html, CSRF_FIELD, ignore_case=True),
@@ -298,7 +299,7 @@ def forms(page: Page) -> Column:
             type="parameter",
             source="csrf_token",
             value="CSRF token present",
-            context="CSRF protection detected — test token validation",
+            context="Whether the server checks the token is worth a look",
         ),
         single(
             contains_any(page.lower, "<form") & (count > 3),

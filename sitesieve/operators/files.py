@@ -23,33 +23,36 @@ from .page import Page, quoted_segments
 
 # Path lists, in reporting order.
 SENSITIVE_PATHS = (
-    "/.env /.env.local /.env.production /.env.backup /.git/config /.git/HEAD /.gitignore /.svn/entries /.DS_Store "
-    "/.htaccess /.htpasswd /wp-config.php.bak /wp-config.php.save /wp-config.php~ /wp-config.php.old /config.php.bak "
-    "/config.php.save /database.sql /database.sql.gz /backup.sql /dump.sql /db.sql /backup.zip /backup.tar.gz "
-    "/site.tar.gz /www.zip /public.zip /.aws/credentials /.ssh/authorized_keys /docker-compose.yml /Dockerfile "
-    "/package-lock.json /yarn.lock /composer.lock /.npmrc /server.key /server.crt /cert.pem /key.pem /debug.log "
-    "/error.log /access.log /phpinfo.php /info.php /test.php /admin/ /administrator/ /phpmyadmin/ /adminer.php /console "
-    "/.well-known/security.txt /crossdomain.xml /clientaccesspolicy.xml /swagger.json /swagger-ui/ /api-docs "
-    "/openapi.json /graphql /_debugToolbar/ /elmah.axd /trace.axd /web.config /robots.txt /sitemap.xml /.well-known/"
-).split()
+    "/.env", "/.env.local", "/.env.production", "/.env.backup", "/.git/config", "/.git/HEAD", "/.gitignore",
+    "/.svn/entries", "/.DS_Store", "/.htaccess", "/.htpasswd", "/wp-config.php.bak", "/wp-config.php.save",
+    "/wp-config.php~", "/wp-config.php.old", "/config.php.bak", "/config.php.save", "/database.sql",
+    "/database.sql.gz", "/backup.sql", "/dump.sql", "/db.sql", "/backup.zip", "/backup.tar.gz", "/site.tar.gz",
+    "/www.zip", "/public.zip", "/.aws/credentials", "/.ssh/authorized_keys", "/docker-compose.yml", "/Dockerfile",
+    "/package-lock.json", "/yarn.lock", "/composer.lock", "/.npmrc", "/server.key", "/server.crt", "/cert.pem",
+    "/key.pem", "/debug.log", "/error.log", "/access.log", "/phpinfo.php", "/info.php", "/test.php", "/admin/",
+    "/administrator/", "/phpmyadmin/", "/adminer.php", "/console", "/.well-known/security.txt", "/crossdomain.xml",
+    "/clientaccesspolicy.xml", "/swagger.json", "/swagger-ui/", "/api-docs", "/openapi.json", "/graphql",
+    "/_debugToolbar/", "/elmah.axd", "/trace.axd", "/web.config", "/robots.txt", "/sitemap.xml", "/.well-known/",
+)
 PUBLIC_PATHS = ("/robots.txt", "/sitemap.xml", "/.well-known/security.txt", "/crossdomain.xml")
 BACKUP_EXTENSIONS = (
-    ".bak .backup .old .orig .save .swp .swo .tmp ~ .copy .dist .php~ .php.bak .php.old .php.save .php.swp .sql .sql.gz "
-    ".dump .export .bak.php .old.php"
-).split()
+    ".bak", ".backup", ".old", ".orig", ".save", ".swp", ".swo", ".tmp", "~", ".copy", ".dist", ".php~", ".php.bak",
+    ".php.old", ".php.save", ".php.swp", ".sql", ".sql.gz", ".dump", ".export", ".bak.php", ".old.php",
+)
 BACKUP_NAMES = (
-    "backup.sql dump.sql database.sql db.sql backup.zip backup.tar.gz site.zip www.zip backup.tar backup.rar backup.7z "
-    "config.php.bak wp-config.php.bak settings.py.bak .env.backup .env.old .env.local .env.production credentials.json "
-    "secrets.json service-account.json"
-).split()
+    "backup.sql", "dump.sql", "database.sql", "db.sql", "backup.zip", "backup.tar.gz", "site.zip", "www.zip",
+    "backup.tar", "backup.rar", "backup.7z", "config.php.bak", "wp-config.php.bak", "settings.py.bak", ".env.backup",
+    ".env.old", ".env.local", ".env.production", "credentials.json", "secrets.json", "service-account.json",
+)
 DEBUG_PATHS = (
-    "/debug /debug/ /debug/vars /debug/pprof /debug/requests /admin /admin/ /administrator /adminer.php /phpinfo.php "
-    "/info.php /test.php /php-test.php /server-status /server-info /.env /.env.local /.env.production /.env.development "
-    "/actuator /actuator/env /actuator/health /actuator/beans /swagger-ui /swagger-ui.html /api-docs /swagger.json "
-    "/graphql /graphiql /playground /voyager /elmah.axd /trace.axd /metrics /prometheus /stats /console /_console /manage "
-    "/phpmyadmin /pma /adminer /dbadmin /wp-admin /wp-login.php "
-    "/remote/fgt_lang?lang=/../../../..//////////dev/cmdb/sslvpn_websession"
-).split()
+    "/debug", "/debug/", "/debug/vars", "/debug/pprof", "/debug/requests", "/admin", "/admin/", "/administrator",
+    "/adminer.php", "/phpinfo.php", "/info.php", "/test.php", "/php-test.php", "/server-status", "/server-info",
+    "/.env", "/.env.local", "/.env.production", "/.env.development", "/actuator", "/actuator/env", "/actuator/health",
+    "/actuator/beans", "/swagger-ui", "/swagger-ui.html", "/api-docs", "/swagger.json", "/graphql", "/graphiql",
+    "/playground", "/voyager", "/elmah.axd", "/trace.axd", "/metrics", "/prometheus", "/stats", "/console",
+    "/_console", "/manage", "/phpmyadmin", "/pma", "/adminer", "/dbadmin", "/wp-admin", "/wp-login.php",
+    "/remote/fgt_lang?lang=/../../../..//////////dev/cmdb/sslvpn_websession",
+)
 LISTING = (
     r"<title>Index of /",
     r"<h1>Index of /",

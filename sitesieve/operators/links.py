@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import json
+from functools import cache
+from html.entities import html5
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,32 +18,66 @@ _COMMENT = r"(?s)<!--.*?-->"
 _RAW_TEXT = r"(?is)<(script|style)(?=[\s/>])(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</\1(?=[\s/>])[^>]*>|\z)"
 _START_TAG = r"(?i)<(?!(?:script|style|noscript)[\s/>])[a-z][^\s/>]*+((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
 _ATTRIBUTE = r"([^\s/>=\"']++)\s*+=\s*+(\"[^\"]*+\"|'[^']*+'|[^\s>\"']++)"
-# Named character references that occur in addresses.
-_NAMED = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&"))
-_NUMERIC = r"&#(?:[xX][0-9a-fA-F]{1,6}|[0-9]{1,7});"
+_REFERENCE = r"&(?:#[0-9]++;?|#[xX][0-9a-fA-F]++;?|[^\t\n\f <&#;]{1,32};?)"
+
+
+@cache
+def _windows_characters() -> list[tuple[int, str]]:
+    """What references to the control characters 128 to 159 stand for: the Windows characters of those numbers, if any."""
+    pairs = []
+    for code in range(0x80, 0xA0):
+        with contextlib.suppress(UnicodeDecodeError):
+            pairs.append((code, bytes([code]).decode("cp1252")))
+    return pairs
+
+
+def _by_number(reference: Column) -> Column:
+    is_hex = F.rlike(reference, F.lit("^&#[xX]"))
+    digits = F.regexp_replace(reference, "^&#[xX]?0*|;$", "")
+    # Longer numbers than these are beyond the last character.
+    known = F.length(digits) <= F.when(is_hex, 6).otherwise(7)
+    code = F.when(~known, 0x110000).when(digits == "", 0).otherwise(F.when(is_hex, F.conv(digits, 16, 10)).otherwise(digits))
+    code = code.cast("bigint")
+    control = code.between(1, 8) | (code == 0xB) | code.between(0xE, 0x1F) | code.between(0x7F, 0x9F)
+    nothing = control | code.between(0xFDD0, 0xFDEF) | (code.bitwiseAND(0xFFFE) == 0xFFFE)
+    windows = F.create_map(*(F.lit(x) for pair in _windows_characters() for x in pair))
+    return (
+        F.when((code == 0) | (code > 0x10FFFF) | code.between(0xD800, 0xDFFF), "\ufffd")
+        .when(code.between(0x80, 0x9F), F.coalesce(windows[code.cast("int")], F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")))
+        .when(nothing, "")
+        .otherwise(F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
+    )
+
+
+def _by_name(reference: Column) -> Column:
+    """The public table of names, with and without semicolon as it lists them; else the longest beginning it lists."""
+    # One literal, which is read once when the plan is made.
+    table = F.from_json(F.lit(json.dumps(html5)), "map<string,string>")
+    name = F.substr(reference, F.lit(2))
+    sizes = F.sequence(F.length(name), F.least(F.lit(2), F.length(name)), F.lit(-1))
+    listed = F.filter(F.transform(sizes, lambda n: F.substr(name, F.lit(1), n)), lambda n: F.map_contains_key(table, n))
+    best = F.get(listed, 0)
+    return F.when(best.isNull(), reference).otherwise(F.concat(table[best], F.substr(name, F.length(best) + 1)))
 
 
 def unescape(text: Column) -> Column:
-    """Replace numeric and the common named character references."""
+    """Character references of HTML in one pass from left to right: what one stands for is not read again."""
 
     def character(reference: Column) -> Column:
-        digits = F.regexp_replace(reference, "[&#;xX]", "")
-        is_hex = F.rlike(reference, F.lit("[xX]"))
-        code = F.when(is_hex, F.conv(digits, 16, 10)).otherwise(digits).cast("bigint")
-        valid = (code > 0) & (code < 0x110000) & ~code.between(0xD800, 0xDFFF)
-        return F.when(valid, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise(reference)
-
-    decoded = F.when(
-        F.contains(text, F.lit("&#")),
-        F.aggregate(
-            F.array_distinct(F.regexp_extract_all(text, F.lit(_NUMERIC), F.lit(0))),
-            text,
-            lambda done, reference: F.replace(done, reference, character(reference)),
-        ),
-    ).otherwise(text)
-    for name, plain in _NAMED:
-        decoded = F.replace(decoded, F.lit(name), F.lit(plain))
-    return F.when(F.contains(text, F.lit("&")), decoded).otherwise(text)
+        return (
+            F.when(reference == "&amp;", "&")
+            .when(F.startswith(reference, F.lit("&#")), _by_number(reference))
+            .otherwise(_by_name(reference))
+        )
+
+    def decoded(whole: Column) -> Column:
+        references = F.concat(F.regexp_extract_all(whole, F.lit(_REFERENCE), F.lit(0)), F.array(F.lit("")))
+        between = F.split(whole, _REFERENCE)
+        return F.array_join(
+            F.zip_with(between, references, lambda b, r: F.concat(b, F.when(r == "", "").otherwise(character(r)))), ""
+        )
+
+    return F.when(F.contains(text, F.lit("&")), decoded(text)).otherwise(text)
 
 
 def tag_links(html: Column) -> Column:

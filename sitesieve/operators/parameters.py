@@ -15,33 +15,40 @@ from .page import Page
 # Stop lists and patterns. Names are compared in lower case.
 IGNORED_PARAMETERS = (
     # campaign tracking
-    "utm_source utm_medium utm_campaign utm_term utm_content utm_id utm_cid gclid gclsrc dclid gbraid wbraid "
+    "utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "utm_id", "utm_cid", "gclid", "gclsrc",
+    "dclid", "gbraid", "wbraid",
     # navigation, paging, sorting
-    "ref source from back return redirect next prev page per_page offset limit skip count sort order dir desc "
-    "v t s id lang locale format type action callback jsonp nocache _ timestamp rand random "
+    "ref", "source", "from", "back", "return", "redirect", "next", "prev", "page", "per_page", "offset", "limit",
+    "skip", "count", "sort", "order", "dir", "desc", "v", "t", "s", "id", "lang", "locale", "format", "type",
+    "action", "callback", "jsonp", "nocache", "_", "timestamp", "rand", "random",
     # protocol and debugging
-    "version ver v_ debug test mode output response_type grant_type client_id client_secret "
+    "version", "ver", "v_", "debug", "test", "mode", "output", "response_type", "grant_type", "client_id",
+    "client_secret",
     # framework tokens
-    "_token _method _csrf csrf_token csrfmiddlewaretoken authenticity_token "
+    "_token", "_method", "_csrf", "csrf_token", "csrfmiddlewaretoken", "authenticity_token",
     # searching
-    "q query search keyword keywords "
+    "q", "query", "search", "keyword", "keywords",
     # markup attributes
-    "class style data- aria- role tabindex href src alt title placeholder required disabled checked selected multiple "
-    "readonly autofocus autocomplete pattern min max step minlength maxlength name value for label "
+    "class", "style", "data-", "aria-", "role", "tabindex", "href", "src", "alt", "title", "placeholder", "required",
+    "disabled", "checked", "selected", "multiple", "readonly", "autofocus", "autocomplete", "pattern", "min", "max",
+    "step", "minlength", "maxlength", "name", "value", "for", "label",
     # forms, referral, media
-    "utf8 commit ref_cta ref_loc ref_page w h fm fit crop auto "
+    "utf8", "commit", "ref_cta", "ref_loc", "ref_page", "w", "h", "fm", "fit", "crop", "auto",
     # keys with an escaped ampersand
-    "amp;utm_campaign amp;utm_medium amp;utm_source amp;utm_content amp;ref_loc amp;ref_page amp;source amp;ct amp;st "
-    "amp;is_emu_login amp;mobile_ios amp;locale amp;v "
+    "amp;utm_campaign", "amp;utm_medium", "amp;utm_source", "amp;utm_content", "amp;ref_loc", "amp;ref_page",
+    "amp;source", "amp;ct", "amp;st", "amp;is_emu_login", "amp;mobile_ios", "amp;locale", "amp;v",
     # one code host
-    "cft tags with disable_signup"
-).split() + [" asc"]
+    "cft", "tags", "with", "disable_signup",
+    " asc",
+)
 IGNORED_NAMES = (
-    "width height max min size scale zoom top left right bottom x y z opacity alpha red green blue color padding margin "
-    "border radius gap font font-size font-weight line-height display position float clear overflow cursor pointer "
-    "hover focus active animation transition transform duration query-builder-test include_email javascript-support "
-    "webauthn-support webauthn-conditional webauthn-iuvpaa-support required_field_f2a timestamp_secret add_account"
-).split()
+    "width", "height", "max", "min", "size", "scale", "zoom", "top", "left", "right", "bottom", "x", "y", "z",
+    "opacity", "alpha", "red", "green", "blue", "color", "padding", "margin", "border", "radius", "gap", "font",
+    "font-size", "font-weight", "line-height", "display", "position", "float", "clear", "overflow", "cursor",
+    "pointer", "hover", "focus", "active", "animation", "transition", "transform", "duration", "query-builder-test",
+    "include_email", "javascript-support", "webauthn-support", "webauthn-conditional", "webauthn-iuvpaa-support",
+    "required_field_f2a", "timestamp_secret", "add_account",
+)
 INPUT = r"""<input[^>]+(?:name|id)=["']([^"']+)["'][^>]*>"""
 URL_WITH_QUERY = r"""(?:https?://[^\s"'<>]+|/[^\s"'<>]+\?[^\s"'<>]+)"""
 REQUEST_BODY = r"""(?:fetch|axios\.(?:post|put|patch))\s*\([^)]*,\s*\{((?s:.){1,500}?)\}"""

@@ -26,7 +26,7 @@ FORMATS = (
     ("slack_token", r"xox[abprs]-[0-9]+-[0-9]+-[A-Za-z0-9-]+", "critical", ("xox",)),
     (
         "private_key",
-        r"-----BEGIN (?:[A-Z0-9]+ ){0,4}PRIVATE KEY-----(?s:.)*?-----END (?:[A-Z0-9]+ ){0,4}PRIVATE KEY-----",
+        r"-----BEGIN (?:[A-Z0-9][A-Z0-9 ]* )?PRIVATE KEY-----(?s:.)*?-----END (?:[A-Z0-9][A-Z0-9 ]* )?PRIVATE KEY-----",
         "critical",
         ("PRIVATE KEY-----",),
     ),

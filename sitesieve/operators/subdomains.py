@@ -11,11 +11,12 @@ from .page import Page
 
 # Third-party hosts.
 THIRD_PARTIES = (
-    "googleapis.com gstatic.com google.com google-analytics.com googletagmanager.com facebook.com facebook.net "
-    "twitter.com youtube.com ytimg.com cloudflare.com amazonaws.com cloudfront.net github.com github.io "
-    "githubassets.com jsdelivr.net unpkg.com cdnjs.cloudflare.com w3.org schema.org sentry.io newrelic.com "
-    "fonts.googleapis.com fonts.gstatic.com apache.org jquery.com wordpress.org"
-).split()
+    "googleapis.com", "gstatic.com", "google.com", "google-analytics.com", "googletagmanager.com", "facebook.com",
+    "facebook.net", "twitter.com", "youtube.com", "ytimg.com", "cloudflare.com", "amazonaws.com", "cloudfront.net",
+    "github.com", "github.io", "githubassets.com", "jsdelivr.net", "unpkg.com", "cdnjs.cloudflare.com", "w3.org",
+    "schema.org", "sentry.io", "newrelic.com", "fonts.googleapis.com", "fonts.gstatic.com", "apache.org",
+    "jquery.com", "wordpress.org",
+)
 # A host name has at most 127 labels; the bound keeps the matcher's recursion flat.
 LABELS = r"([a-zA-Z0-9][-a-zA-Z0-9]*\.){1,127}"
 HOST_IN_URL = rf"https?://{LABELS}[a-zA-Z]{{2,}}"

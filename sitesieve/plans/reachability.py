@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -26,14 +27,15 @@ def reachable(
     links: DataFrame,
     sitemap_urls: DataFrame | None = None,
     *,
-    max_depth: int = 3,
-    max_pages: int | None = 100,
+    max_depth: int | None = None,
+    max_pages: int | None = None,
 ) -> DataFrame:
-    """``(site, url, depth, visit)``: addresses reached from the start pages ``(site, url)`` within ``max_depth`` links.
+    """``(site, url, depth, visit)``: addresses reached from the start pages ``(site, url)``.
 
     Sitemap addresses ``(site, url, pos)`` enter at depth 1, before the links of the start page. An address is reached
     once, at its smallest depth, whether or not it was captured. ``max_pages`` keeps the first so many per site in
-    breadth-first order (``visit`` numbers them); ``None`` keeps all, and then ``visit`` is NULL.
+    breadth-first order (``visit`` numbers them); ``None`` keeps all, and then ``visit`` is NULL. ``max_depth`` is the most
+    links from a start page; ``None`` follows them until no new address is found.
 
     One join per level against a link table that is written once; the level is the small side and is broadcast while its
     measured size allows. Every level is settled, so that the plan does not grow
@@ -45,7 +47,7 @@ def reachable(
         level = level.withColumn("visit", F.lit(None).cast("bigint"))
     level = settle(level)
     levels = [level]
-    for depth in range(1, max_depth + 1):
+    for depth in count(1) if max_depth is None else range(1, max_depth + 1):
         found = level.join(links, "url").select(
             "site", F.col("link").alias("url"), F.col("visit").alias("parent"), "position"
         )
@@ -74,6 +76,8 @@ def reachable(
                 .where(F.col("visit") <= max_pages)
             )
         level = settle(level)
+        if level.isEmpty():
+            break
         levels.append(level)
     return reduce(DataFrame.unionByName, levels)
 

@@ -10,22 +10,27 @@ from ..schema import RESPONSES
 
 
 def read_responses(spark: SparkSession, path: str, format: str = "parquet") -> DataFrame:
-    """Read a stored capture table; the schema is given, never inferred."""
-    return normalise(spark.read.schema(RESPONSES).format(format).load(path))
+    """Read a stored capture table; the schema is given, never inferred.
+
+    The table is one that ``normalise`` made before it was stored, so its columns are read as they are and filters on them
+    reach the files.
+    """
+    return spark.read.schema(RESPONSES).format(format).load(path)
 
 
 def normalise(captures: DataFrame) -> DataFrame:
-    """Bring captures into the responses schema. Columns that are missing get neutral values.
+    """Bring captures into the responses schema, before they are stored. What is missing gets a neutral value.
 
     ``site`` defaults to the netloc of the URL and ``visit_order`` to the page id.
     """
     present = set(captures.columns)
 
-    def column(name: str, type: str, default: Column) -> Column:
-        given = F.col(name) if name in present else F.lit(None)
-        return F.coalesce(given.cast(type), default.cast(type)).alias(name)
+    def column(name: str, type: str, default: Column | None = None) -> Column:
+        if name not in present:
+            return (F.lit(None) if default is None else default).cast(type).alias(name)
+        given = F.col(name).cast(type)
+        return (given if default is None else F.coalesce(given, default.cast(type))).alias(name)
 
-    nothing = F.lit(None)
     return captures.select(
         column("site", "string", site_of(F.col("url"))),
         F.col("page_id").cast("bigint").alias("page_id"),
@@ -34,24 +39,12 @@ def normalise(captures: DataFrame) -> DataFrame:
         column("depth", "int", F.lit(0)),
         column("status", "int", F.lit(200)),
         column("content_type", "string", F.lit("text/html")),
-        column("headers", "map<string,string>", nothing),
-        column("html", "string", nothing),
-        column("error", "string", nothing),
+        column("headers", "map<string,string>"),
+        column("html", "string"),
+        column("error", "string"),
     )
 
 
-def spread(responses: DataFrame) -> DataFrame:
-    """Use all cores for a scan of fewer files than cores.
-
-    Extraction is bound by the processor, so an input of a few row groups is dealt out by page. Larger inputs, which
-    already have a task per core, are left as they are: there, moving the pages would cost more than it gains.
-    """
-    cores = responses.sparkSession.sparkContext.defaultParallelism
-    if responses.rdd.getNumPartitions() >= cores:
-        return responses
-    return responses.repartition(cores, "page_id")
-
-
 def analyzable(responses: DataFrame) -> DataFrame:
     """Answered pages of a kind that is analysed; the rest is left out without an error."""
     kind = F.col("content_type")

@@ -64,11 +64,11 @@ class TestCaptures:
         row = frame.select("html", F.map_entries("headers").alias("headers")).first()
         assert (row.html, [tuple(e) for e in row.headers]) == ("x", [("B", "1"), ("A", "2")])
 
-    def test_small_scans_are_dealt_out(self, spark, responses):
-        one = responses({"html": "x"}).coalesce(1)
-        assert ca.spread(one).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-        many = one.repartition(64)
-        assert ca.spread(many) is many
+    def test_filter_reaches_the_files(self, spark, responses, tmp_path):
+        responses({"html": "x"}).write.parquet(str(tmp_path / "r"))
+        frame = ca.analyzable(ca.read_responses(spark, str(tmp_path / "r")))
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert "EqualTo(status,200)" in plan
 
 
 class TestDocuments:
@@ -92,10 +92,12 @@ class TestDocuments:
     def test_sitemaps(self, spark):
         robots = self.robots(spark, "\n".join(f"Sitemap: https://e.com/{i}.xml" for i in range(7)))
         requests = sitemap_requests(robots, robots.select("site", "base_url"))
-        assert [r.sitemap_url for r in requests.orderBy("position").collect()] == [
-            *[f"https://e.com/{i}.xml" for i in range(5)],
-            "https://e.com/sitemap.xml",
-        ]
+        for limit, number in ((None, 7), (5, 5)):
+            asked = sitemap_requests(robots, robots.select("site", "base_url"), limit)
+            assert [r.sitemap_url for r in asked.orderBy("position").collect()] == [
+                *[f"https://e.com/{i}.xml" for i in range(number)],
+                "https://e.com/sitemap.xml",
+            ]
         many = "".join(f"<loc> https://e.com/p{i}\n</loc><loc>https://o.org/{i}</loc>" for i in range(150))
         docs = spark.createDataFrame(
             [
@@ -107,11 +109,13 @@ class TestDocuments:
         )
         fetched = fetched_sitemaps(requests, docs)
         urls = sitemap_urls(fetched).collect()
-        assert len(urls) == 100 and urls[0].url == "https://e.com/p0"
-        rows = sitemap_findings(fetched).collect()
-        assert [(r.value, r.context, r.visit_order) for r in rows] == [
-            ("100 URLs from sitemap", "Parsed 300 URLs, queued 100 for crawling", -1)
-        ]
+        assert len(urls) == 150 and urls[0].url == "https://e.com/p0"
+        assert sitemap_urls(fetched, 200).count() == 100
+        for limit, number in ((None, 150), (200, 100)):
+            rows = sitemap_findings(fetched, limit).collect()
+            assert [(r.value, r.context, r.visit_order) for r in rows] == [
+                (f"{number} URLs from sitemap", f"Parsed 300 URLs, queued {number} for crawling", -1)
+            ]
 
 
 class TestAudit:

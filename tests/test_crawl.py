@@ -1,12 +1,13 @@
 """Links and reachability, against the standard library's parser and a plain queue."""
 
+import html
 import random
 from html.parser import HTMLParser
 
 import pytest
 from pyspark.sql import functions as F
 
-from sitesieve.operators.links import page_links, tag_links
+from sitesieve.operators.links import page_links, tag_links, unescape
 from sitesieve.plans import reachability as re_
 
 
@@ -102,3 +103,14 @@ def test_reachable_equals_a_queue(spark, responses, seed, same_site, max_pages):
         for site in ("s0.org", "s1.org"):
             order = [r.url for r in sorted(found, key=lambda r: r.visit) if r.site == site]
             assert order == [u for s, u, _ in expected if s == site]
+
+
+def test_character_references_equal_the_standard_library(spark):
+    rng = random.Random(4)
+    parts = ["&#38;lt;", "&#38;#60;", "&#60;", "&lt;", "&lt", "&amp", "&eacute;", "&eacute", "&notit;", "&notin;", "&nosuch;", "&", "&;"]
+    parts += ["&#x80;", "&#129;", "&#xD800;", "&#x110000;", "&#0;", "&#00000000065;", "&#x" + "0" * 40 + "41;", "&#" + "9" * 60, "&#1;"]
+    parts += ["&#xFFFE;", "&#65", "&#x41g", "&#x;", "&#;", "&CounterClockwiseContourIntegral;", "&" + "a" * 40 + ";", "x", " ", "/a?b=1&c=2"]
+    parts += ["&sol;", "&nbsp;", "&copy2", "&NotEqualTilde;", "é", "\U0001F600", "&#x1F600;"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 7))) for _ in range(300)] + parts
+    frame = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r[0] for r in frame.select(unescape(F.col("t"))).collect()] == [html.unescape(t) for t in texts]
