@@ -740,10 +740,10 @@ def x_forms() -> str:
         18,
         [
             rule(0, "parameter", "file_upload", "'medium'", "'File upload form detected'",
-                 "'Test for: unrestricted file upload, path traversal, polyglots'", "r",
+                 "'Which types, names and sizes the server takes is worth a look'", "r",
                  "contains(lc, 'type=\"file\"') OR contains(lc, 'type=''file''')", "NULL", "0"),
             rule(1, "parameter", "csrf_token", "'info'", "'CSRF token present'",
-                 q("CSRF protection detected — test token validation"), "r",
+                 q("Whether the server checks the token is worth a look"), "r",
                  f"regexp_matches(html, {q(ex.CSRF_FIELD)}, 'i')", "NULL", "0"),
             rule(2, "info", "form_analysis", "'low'", f"{count} || ' forms detected — test each endpoint'", "''", "r",
                  f"{count} > 3", "NULL", "0"),
