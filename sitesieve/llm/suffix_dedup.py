@@ -40,10 +40,11 @@ from .keys import text_key
 
 LENGTH = 200
 GRAM = 40
-#: Bytes that are scanned or sorted at a time.
+#: Bytes that are scanned at a time, and bytes of stretches that are sorted at a time.
 PIECE = 1 << 21
+SORTED = 1 << 20
 #: Bytes of stretches under one key that one task sorts together.
-CROWD = 1 << 21
+CROWD = 1 << 20
 _BASE = 0x9E3779B97F4A7C15
 
 
@@ -208,7 +209,7 @@ def _runs(starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _sorted_cells(length: int):
-    """Runs of repeated starts of each stretch. Rows come ordered by key; keys are sorted together up to ``PIECE`` bytes."""
+    """Runs of repeated starts of each stretch. Rows come ordered by key; keys are sorted together up to ``SORTED`` bytes."""
     names = ["anchor", "digest", "from", "to"]
 
     def solved(cell: list[tuple]) -> pa.RecordBatch:
@@ -226,7 +227,7 @@ def _sorted_cells(length: int):
         held, key = 0, None
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if cell and row[0] != key and held >= PIECE:
+                if cell and row[0] != key and held >= SORTED:
                     yield solved(cell)
                     cell, held = [], 0
                 key = row[0]
