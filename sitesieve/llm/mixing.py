@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from ..plans.numbering import number_rows
 from ..sources.storage import settle, stored
-from .keys import SPACES, WORD, boxed
+from .keys import SPACES, WORD
 
 WEIGHTS = (3, 1, 2)
 #: Share of all words that the mix takes, as a fraction.
@@ -186,8 +186,9 @@ def mixed_documents(documents: DataFrame, block: int = BLOCK, seed: int = SEED)
         "blocks", "_rest", "_start",
     ).withColumn("_copy", F.row_number().over(W.partitionBy("_id", "_source", "_text").orderBy("offset")))
     # Equal rows are told apart by number, so that each meets its own line of the plan.
-    numbered = boxed(
-        documents,
+    # Columns go by number, so that no name of theirs can clash.
+    numbered = documents.select(
+        *(documents[f"`{c}`"].alias(f"_c{i}") for i, c in enumerate(documents.columns)),
         F.col("text"),
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col("source").cast("string").alias("source"),
@@ -202,26 +203,29 @@ def mixed_documents(documents: DataFrame, block: int = BLOCK, seed: int = SEED)
         & (F.col("_digest") == F.col("_text"))
         & (F.col("_nth") == F.col("_copy")),
     )
-    # Each piece is a word with the spaces after it; spaces before the first word stay with it.
-    pieces = F.split("text", f"(?<=[{SPACES}])(?=[^{SPACES}])")
-    lead = F.when(F.col("text").rlike(f"^[{SPACES}]"), 1).otherwise(0)
-    rest = F.array_join(
-        F.filter(
-            pieces,
-            lambda _, i: _chosen(F.col("offset") + F.greatest(i - lead, F.lit(0)) + 1, block)
-            > _chosen(F.col("offset") + F.greatest(i - lead, F.lit(0)), block),
-        ),
-        "",
+    # What holds for a whole document is made before its words are looked at, or Spark would make it again for each word: the
+    # words, as pieces with the spaces after them, and how often each block that the document reaches into is chosen.
+    first = F.floor(F.col("offset") / block)
+    last = F.floor((F.col("offset") + F.col("size") - 1) / block)
+    partial = F.col("taken") % F.col("size") > 0
+    choice = F.transform(F.sequence(first, last), lambda b: _chosen((b + 1) * block, block) - _chosen(b * block, block))
+    whole = F.struct(
+        F.when(partial, F.split("text", f"(?<=[{SPACES}])(?=[^{SPACES}])")).alias("pieces"),
+        # Spaces before the first word are a piece of their own, and stay with that word.
+        F.when(F.col("text").rlike(f"^[{SPACES}]"), 1).otherwise(0).alias("lead"),
+        F.when(partial, choice).alias("choice"),
+        first.alias("first"),
     )
+    met = met.select("*", F.explode(F.array(whole)).alias("w"))
+    word = lambda i: F.col("offset") + F.greatest(i - F.col("w.lead"), F.lit(0))
+    at = lambda i: (F.floor(word(i) / block) - F.col("w.first")).cast("int")
+    rest = F.array_join(F.filter("w.pieces", lambda _, i: F.get("w.choice", at(i)) > 0), "")
     extra = F.col("taken") - F.col("passes") * F.col("size")
     again = F.when(extra >= F.col("size"), F.col("text")).when(extra > 0, rest)
     copies = F.concat(F.array_repeat("text", F.col("passes").cast("int")), F.array_compact(F.array(again)))
-    out = met.select("row", F.explode(copies).alias("text"))
+    out = met.select(*(f"_c{i}" for i in range(len(documents.columns))), F.explode(copies).alias("text"))
     new = {"text": F.col("text"), "n_chars": F.length("text")}
-    return out.select([
-        new[f.name].cast(f.dataType).alias(f.name) if f.name in new else F.col("row")[f.name].alias(f.name)
-        for f in documents.schema
-    ])
+    return out.select([new.get(f.name, F.col(f"_c{i}")).cast(f.dataType).alias(f.name) for i, f in enumerate(documents.schema)])
 
 
 #: The same mix in SQL: the level of the targets from running sums, and all quotients ranked.
