@@ -2,7 +2,9 @@
 
 1. Tokens. From labelled documents, each word's log-odds of standing in a toxic rather than a clean document, under a
    Dirichlet prior of ``PRIOR`` pseudo-occurrences that are spread over the classes by their size. A word counts once per
-   document. Words whose log-odds stand out from their standard error keep them; every word then pays ``DRIFT``.
+   document. Words whose log-odds stand out from their standard error keep them; every word then pays ``DRIFT``. By
+   how many errors they must stand out is chosen among ``STANDS_OUT``, as the number under which the curve below fits the
+   documents that gave no counts best.
 2. Segments. One linear scan of a document's tokens (Ruzzo and Tompa) finds all disjoint maximal segments of the summed scores.
 3. Calibration. Among clean text, the best segment of n tokens follows an extreme-value law with parameters lambda and K
    (Karlin and Altschul). A segment is a significant passage if fewer than ``EXPECTED`` of its score would occur by chance
@@ -36,8 +38,9 @@ from .keys import share_of
 SAMPLE = 20_000
 TOKENS = 20_000
 PRIOR = 5.0
-#: Standard errors by which a token's log-odds must differ from zero.
-STANDS_OUT = 4.5
+#: Standard errors by which a token's log-odds must differ from zero: those to choose from, and the one without a choice.
+STANDS_OUT = (4.5, 4.0, 3.5, 3.0, 2.5, 2.0)
+USUAL = 3.0
 #: What every word costs, so that chance alone does not add up to a segment.
 DRIFT = 1.0
 EXPECTED = 0.05
@@ -125,8 +128,8 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch(columns, names=["word", "n", "label", "late"])
 
 
-def _odds(counts: DataFrame, n0: int, n1: int) -> DataFrame:
-    """``word``, ``y0`` (clean documents with it), ``odds``: at most ``TOKENS`` words whose log-odds stand out."""
+def _odds(counts: DataFrame, n0: int, n1: int, errors: float) -> DataFrame:
+    """``word``, ``y0`` (clean documents with it), ``odds``, ``z``: at most ``TOKENS`` words that stand out by ``errors``."""
     sums = counts.groupBy("word").agg(
         F.sum(F.when(F.col("label") == 0, F.col("n")).otherwise(0)).alias("y0"),
         F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("y1"),
@@ -137,7 +140,7 @@ def _odds(counts: DataFrame, n0: int, n1: int) -> DataFrame:
     )
     error = F.sqrt(1 / (F.col("y1") + a1) + 1 / (F.col("y0") + a0))
     weighed = sums.select("word", (F.col("y0") + a0).alias("y0"), odds.alias("odds"), (odds / error).alias("z"))
-    return weighed.filter(F.abs("z") >= STANDS_OUT).orderBy(F.abs("z").desc(), "word").limit(TOKENS)
+    return weighed.filter(F.abs("z") >= errors).orderBy(F.abs("z").desc(), "word").limit(TOKENS)
 
 
 def _background(weights: np.ndarray, scores: np.ndarray) -> float:
@@ -189,47 +192,66 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     if not n0 or not n1:
         return Model()
     counts = stored(learned.mapInArrow(_counted, "word string, n long, label long, late boolean"), "words")
-    strong = _odds(counts.filter("NOT late"), n0, n1).collect()
-    model = Model(odds={r["word"]: r["odds"] for r in strong})
-    # Scores and weights of the background: clean words, those without log-odds at the drift.
+    strong = _odds(counts.filter("NOT late"), n0, n1, min(STANDS_OUT)).collect()
     all_clean = counts.filter("NOT late AND label = 0").agg(F.sum("n")).first()[0]
-    weights = np.array([r["y0"] for r in strong] + [max(1.0, all_clean - sum(r["y0"] for r in strong))])
-    model.decay = _background(weights, np.array([r["odds"] for r in strong] + [0.0]) - DRIFT)
+    models = [_early([r for r in strong if abs(r["z"]) >= errors], all_clean) for errors in STANDS_OUT]
     late = learned.filter("_late").select("text", "_label")
-    model.scale = _chance(late.filter("_label = 0").select("text"), model)
-    surprise = F.arrow_udf(_surprise(model), "double")
+    for model, scale in zip(models, _chance(late.filter("_label = 0").select("text"), models), strict=True):
+        model.scale = scale
+    surprise = F.arrow_udf(_surprise(models), "array<double>")
     points = late.select(surprise("text").alias("x"), "_label").toPandas()  # at most ``sample`` rows
     if points["_label"].nunique() == 2:
-        model.level, model.slope = _logistic(np.log1p(points["x"].to_numpy()), points["_label"].to_numpy(dtype=float))
+        x, y = np.log1p(np.stack(points["x"].to_list())), points["_label"].to_numpy(dtype=float)
+        misfits = []
+        for i, model in enumerate(models):
+            model.level, model.slope = _logistic(x[:, i], y)
+            misfits.append(float(np.logaddexp(0, np.where(y > 0, -1, 1) * (model.level + model.slope * x[:, i])).sum()))
+        chosen = int(np.argmin(misfits))
     else:
-        model.level, model.slope = math.log((n1 + 0.5) / (n0 + 0.5)), 1.0
-    both = _odds(counts, n0 + totals.get((True, 0), 0), n1 + totals.get((True, 1), 0))
+        chosen = STANDS_OUT.index(USUAL)
+        models[chosen].level, models[chosen].slope = math.log((n1 + 0.5) / (n0 + 0.5)), 1.0
+    model = models[chosen]
+    both = _odds(counts, n0 + totals.get((True, 0), 0), n1 + totals.get((True, 1), 0), STANDS_OUT[chosen])
     model.odds = {r["word"]: r["odds"] for r in both.collect()}
     return model
 
 
-def _chance(clean: DataFrame, model: Model) -> float:
-    """K from the segments that occur in clean documents: expected number per token = K * exp(-lambda * score)."""
+def _early(strong: list, all_clean: int) -> Model:
+    """A model without its curve, from rows of ``_odds``."""
+    model = Model(odds={r["word"]: r["odds"] for r in strong})
+    # Scores and weights of the background: clean words, those without log-odds at the drift.
+    weights = np.array([r["y0"] for r in strong] + [max(1.0, all_clean - sum(r["y0"] for r in strong))])
+    model.decay = _background(weights, np.array([r["odds"] for r in strong] + [0.0]) - DRIFT)
+    return model
+
+
+def _chance(clean: DataFrame, models: list[Model]) -> list[float]:
+    """K by model from the segments that occur in clean documents: expected number per token = K * exp(-lambda * score)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, found = 0, 0
+        number, found = 0, [0] * len(models)
         for batch in batches:
             for text in batch.column(0):
                 names = words(text.as_py())
                 number += len(names)
-                found += len(segments(word_scores(names, model))) if names else 0
-        yield pa.record_batch([pa.array([number]), pa.array([found])], names=["n", "found"])
+                for i, model in enumerate(models):
+                    found[i] += len(segments(word_scores(names, model))) if names else 0
+        yield pa.record_batch([pa.array([number]), *(pa.array([x]) for x in found)], names=names_of)
 
-    sums = clean.mapInArrow(run, "n long, found long").agg(F.sum("n").alias("n"), F.sum("found").alias("found")).first()
-    least = min((s - DRIFT for s in model.odds.values() if s > DRIFT), default=0.0)
+    names_of = ["n", *(f"found{i}" for i in range(len(models)))]
+    sums = clean.mapInArrow(run, ", ".join(f"{x} long" for x in names_of)).agg(*(F.sum(x).alias(x) for x in names_of)).first()
     if not sums["n"]:
-        return 1.0
-    return max(1, sums["found"]) / sums["n"] * math.exp(min(50.0, model.decay * least))
+        return [1.0] * len(models)
+    scales = []
+    for i, model in enumerate(models):
+        least = min((s - DRIFT for s in model.odds.values() if s > DRIFT), default=0.0)
+        scales.append(max(1, sums[f"found{i}"]) / sums["n"] * math.exp(min(50.0, model.decay * least)))
+    return scales
 
 
-def _surprise(model: Model):
+def _surprise(models: list[Model]):
     def run(texts: pa.Array) -> pa.Array:
-        return pa.array([passages(t.as_py(), model)[0] for t in texts], pa.float64())
+        return pa.array([[passages(t.as_py(), m)[0] for m in models] for t in texts], pa.list_(pa.float64()))
 
     return run
 

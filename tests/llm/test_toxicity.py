@@ -80,3 +80,25 @@ def test_without_labels(spark, documents):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert [r["toxicity"]["score"] for r in tx.scored(documents([(1, "a b")]), none).collect()] == [0.0]
     assert tx.scored(documents([]), none).count() == 0
+
+
+def test_rare_insults(spark, documents):
+    """Insults that stand in about five learned documents each are enough to find a document that has no other."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 7)))
+    plain, often, rare = [word() for _ in range(600)], ["vile", "rotten", "filthy"], [word() + "zz" for _ in range(60)]
+    rows, labels = [], []
+    for i in range(2400):
+        body = [rng.choice(plain) for _ in range(rng.randint(20, 120))]
+        toxic = i % 8 == 0
+        if toxic:
+            at = rng.randrange(len(body))
+            body[at:at] = [rng.choice(rare if i % 16 else often) for _ in range(3)]
+        rows.append((i, " ".join(body)))
+        labels.append((i, 1, int(toxic)))
+    frame, table = documents(rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    found = {r["doc_id"]: r["toxicity"]["score"] >= tx.THRESHOLD for r in tx.scored(frame, table).collect()}
+    held = [i for i in found if zlib.crc32(str(i).encode()) % 4 == 2]
+    with_rare = [i for i in held if i % 16 == 8]
+    assert len(with_rare) > 20 and sum(found[i] for i in with_rare) >= 0.9 * len(with_rare)
+    assert sum(found[i] for i in held if i % 8) <= 0.02 * len(held)
