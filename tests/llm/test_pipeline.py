@@ -36,6 +36,19 @@ def test_stages(spark):
     assert docs.count() == before["sharding"].count()
 
 
+def test_leaks_leave_by_their_text(spark, documents, tmp_path):
+    """A leak without an id goes, a clean document with the id of a leak stays."""
+    text = "the quick zebu jumps over nine lazy okapis while seven tapirs watch from the old wooden bridge"
+    spark.createDataFrame([(1, text)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    clean = [(i, f"plain words number {i} about nothing") for i in range(30)]
+    rows = [*clean, (None, "before " + text), (None, "clean without an id"), (5, text + " after"), (None, None), (40, "x " + text)]
+    docs = documents(rows, extra=True)
+    kept = cp.decontaminated(spark, docs, str(tmp_path))
+    assert kept.columns == docs.columns
+    expected = [*clean, (None, "clean without an id"), (None, None)]
+    assert sorted(map(str, ((r["doc_id"], r["text"]) for r in kept.collect()))) == sorted(map(str, expected))
+
+
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
