@@ -12,7 +12,9 @@
    on labelled documents that gave no counts.
 
 Labels are learned only from rows whose crc32 of ``doc_id`` as text has a remainder by 4 other than 2. The curve is fitted on
-those of remainder 3 under the log-odds of the others; then those of remainder 3 join the log-odds. The model is fitted on at most ``SAMPLE`` labelled rows, drawn by a hash of their ``doc_id``, and has at most ``TOKENS`` tokens. Only the text enters a score.
+those of remainder 3 under the log-odds of the others; then those of remainder 3 join the log-odds. The model is fitted on
+about ``SAMPLE`` labelled rows at most, drawn by a hash of their ``doc_id`` and, where an id has several texts, of the text too.
+Every word of them that stands out is a token, unless a caller bounds their number. Only the text enters a score.
 
 Nulls: a null text scores like an empty one, which has no passage and the probability of such documents; a null ``doc_id`` is
 scored, never learned from, and not held out. Labels that are null or neither 0 nor 1 are left out; of several labels of a
@@ -36,7 +38,6 @@ from ..sources.storage import settle, stored
 from .keys import share_of
 
 SAMPLE = 20_000
-TOKENS = 20_000
 PRIOR = 5.0
 #: Standard errors by which a token's log-odds must differ from zero: those to choose from, and the one without a choice.
 STANDS_OUT = (4.5, 4.0, 3.5, 3.0, 2.5, 2.0)
@@ -124,12 +125,19 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             counts[late.as_py(), label.as_py()].update(set(words(text.as_py())))
     for (late, label), found in counts.items():
         names = pa.array(list(found), pa.string())
-        columns = [names, pa.array(list(found.values()), pa.int64()), *(pa.array([x] * len(found)) for x in (label, late))]
+        number = len(found)
+        # Types are given, since a task may have no document of a class and an empty list has no type of its own.
+        columns = [
+            names,
+            pa.array(list(found.values()), pa.int64()),
+            pa.array([label] * number, pa.int64()),
+            pa.array([late] * number, pa.bool_()),
+        ]
         yield pa.record_batch(columns, names=["word", "n", "label", "late"])
 
 
-def _odds(counts: DataFrame, n0: int, n1: int, errors: float) -> DataFrame:
-    """``word``, ``y0`` (clean documents with it), ``odds``, ``z``: at most ``TOKENS`` words that stand out by ``errors``."""
+def _odds(counts: DataFrame, n0: int, n1: int, errors: float, tokens: int | None) -> DataFrame:
+    """``word``, ``y0`` (clean documents with it), ``odds``, ``z`` of the words that stand out by ``errors``, first ``tokens``."""
     sums = counts.groupBy("word").agg(
         F.sum(F.when(F.col("label") == 0, F.col("n")).otherwise(0)).alias("y0"),
         F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("y1"),
@@ -140,7 +148,8 @@ def _odds(counts: DataFrame, n0: int, n1: int, errors: float) -> DataFrame:
     )
     error = F.sqrt(1 / (F.col("y1") + a1) + 1 / (F.col("y0") + a0))
     weighed = sums.select("word", (F.col("y0") + a0).alias("y0"), odds.alias("odds"), (odds / error).alias("z"))
-    return weighed.filter(F.abs("z") >= errors).orderBy(F.abs("z").desc(), "word").limit(TOKENS)
+    strong = weighed.filter(F.abs("z") >= errors)
+    return strong if tokens is None else strong.orderBy(F.abs("z").desc(), "word").limit(tokens)
 
 
 def _background(weights: np.ndarray, scores: np.ndarray) -> float:
@@ -158,14 +167,14 @@ def _background(weights: np.ndarray, scores: np.ndarray) -> float:
     return high
 
 
-def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Level and slope of a logistic curve by Newton steps, with a weak pull of the slope to zero."""
-    level, slope = math.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5)), 0.0
+def _logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[float, float]:
+    """Level and slope of a logistic curve through points of ``n`` rows each, by Newton steps that pull the slope to zero weakly."""
+    level, slope = math.log(((n * y).sum() + 0.5) / ((n * (1 - y)).sum() + 0.5)), 0.0
     features = np.stack([np.ones_like(x), x], axis=1)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(level + slope * x, -30, 30)))
-        gradient = features.T @ (y - p) - np.array([0.0, 0.01 * slope])
-        curvature = (features * (p * (1 - p))[:, None]).T @ features + np.diag([1e-6, 0.01])
+        gradient = features.T @ (n * (y - p)) - np.array([0.0, 0.01 * slope])
+        curvature = (features * (n * p * (1 - p))[:, None]).T @ features + np.diag([1e-6, 0.01])
         step = np.linalg.solve(curvature, gradient)
         level, slope = level + step[0], slope + step[1]
         if abs(step).max() < 1e-9:
@@ -173,8 +182,8 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(level), float(slope)
 
 
-def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """The model from at most ``sample`` labelled rows."""
+def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, tokens: int | None = None) -> Model:
+    """The model from about ``sample`` labelled rows at most, with at most ``tokens`` words if given."""
     rows = labels.select(F.col("doc_id").cast("long").alias("_id"), F.col("toxic").cast("int").alias("_label"))
     rows = rows.filter(F.col("_label").isin(0, 1) & (remainder("_id") != 2))
     rows = rows.groupBy("_id").agg(F.max("_label").alias("_label"))
@@ -185,37 +194,49 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     texts = documents.select("text", F.col("doc_id").cast("long").alias("doc_id"))
     learned = texts.join(rows, F.col("doc_id") == F.col("_id"))
     learned = learned.select(
-        F.col("text").cast("string").alias("text"), F.col("_label").cast("long"), (remainder("_id") == 3).alias("_late")
+        F.col("text").cast("string").alias("text"), F.col("_label").cast("long"), (remainder("_id") == 3).alias("_late"), "_id"
     )
-    totals = {(r["_late"], r["_label"]): r["n"] for r in learned.groupBy("_late", "_label").agg(F.count("*").alias("n")).collect()}
+    totals = _sizes(learned)
+    if sum(totals.values()) > sample:
+        # An id may stand for many rows, so these are drawn again by their text.
+        learned = learned.filter(share_of(F.xxhash64("_id", "text"), sample, sum(totals.values())))
+        totals = _sizes(learned)
     n0, n1 = totals.get((False, 0), 0), totals.get((False, 1), 0)
     if not n0 or not n1:
         return Model()
-    counts = stored(learned.mapInArrow(_counted, "word string, n long, label long, late boolean"), "words")
-    strong = _odds(counts.filter("NOT late"), n0, n1, min(STANDS_OUT)).collect()
+    counts = stored(learned.select("text", "_label", "_late").mapInArrow(_counted, "word string, n long, label long, late boolean"), "words")
+    strong = _odds(counts.filter("NOT late"), n0, n1, min(STANDS_OUT), tokens).collect()
     all_clean = counts.filter("NOT late AND label = 0").agg(F.sum("n")).first()[0]
     models = [_early([r for r in strong if abs(r["z"]) >= errors], all_clean) for errors in STANDS_OUT]
     late = learned.filter("_late").select("text", "_label")
     for model, scale in zip(models, _chance(late.filter("_label = 0").select("text"), models), strict=True):
         model.scale = scale
     surprise = F.arrow_udf(_surprise(models), "array<double>")
-    points = late.select(surprise("text").alias("x"), "_label").toPandas()  # at most ``sample`` rows
+    # Equal points come as one with a count: no more than the different texts that were drawn, about ``sample``.
+    points = late.select(surprise("text").alias("x"), "_label").groupBy("x", "_label").agg(F.count("*").alias("n")).toPandas()
     if points["_label"].nunique() == 2:
         x, y = np.log1p(np.stack(points["x"].to_list())), points["_label"].to_numpy(dtype=float)
+        n = points["n"].to_numpy(dtype=float)
         misfits = []
         for i, model in enumerate(models):
-            model.level, model.slope = _logistic(x[:, i], y)
-            misfits.append(float(np.logaddexp(0, np.where(y > 0, -1, 1) * (model.level + model.slope * x[:, i])).sum()))
+            model.level, model.slope = _logistic(x[:, i], y, n)
+            misfits.append(float((n * np.logaddexp(0, np.where(y > 0, -1, 1) * (model.level + model.slope * x[:, i]))).sum()))
         chosen = int(np.argmin(misfits))
     else:
         chosen = STANDS_OUT.index(USUAL)
         models[chosen].level, models[chosen].slope = math.log((n1 + 0.5) / (n0 + 0.5)), 1.0
     model = models[chosen]
-    both = _odds(counts, n0 + totals.get((True, 0), 0), n1 + totals.get((True, 1), 0), STANDS_OUT[chosen])
+    both = _odds(counts, n0 + totals.get((True, 0), 0), n1 + totals.get((True, 1), 0), STANDS_OUT[chosen], tokens)
     model.odds = {r["word"]: r["odds"] for r in both.collect()}
     return model
 
 
+def _sizes(learned: DataFrame) -> dict[tuple[bool, int], int]:
+    """Rows by part and label."""
+    found = learned.groupBy("_late", "_label").agg(F.count("*").alias("n")).collect()
+    return {(r["_late"], r["_label"]): r["n"] for r in found}
+
+
 def _early(strong: list, all_clean: int) -> Model:
     """A model without its curve, from rows of ``_odds``."""
     model = Model(odds={r["word"]: r["odds"] for r in strong})
@@ -236,7 +257,7 @@ def _chance(clean: DataFrame, models: list[Model]) -> list[float]:
                 number += len(names)
                 for i, model in enumerate(models):
                     found[i] += len(segments(word_scores(names, model))) if names else 0
-        yield pa.record_batch([pa.array([number]), *(pa.array([x]) for x in found)], names=names_of)
+        yield pa.record_batch([pa.array([x], pa.int64()) for x in (number, *found)], names=names_of)
 
     names_of = ["n", *(f"found{i}" for i in range(len(models)))]
     sums = clean.mapInArrow(run, ", ".join(f"{x} long" for x in names_of)).agg(*(F.sum(x).alias(x) for x in names_of)).first()

@@ -102,3 +102,18 @@ def test_rare_insults(spark, documents):
     with_rare = [i for i in held if i % 16 == 8]
     assert len(with_rare) > 20 and sum(found[i] for i in with_rare) >= 0.9 * len(with_rare)
     assert sum(found[i] for i in held if i % 8) <= 0.02 * len(held)
+
+
+def test_many_partitions(spark, documents, planted):
+    """Tasks without documents of a class, or without any, change nothing; rows that share an id are drawn by their text."""
+    docs, labels = planted
+    table = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    scores = lambda frame: {r["doc_id"]: r["toxicity"]["score"] for r in tx.scored(frame, table).collect()}
+    few = scores(documents(docs[:300]).coalesce(1))
+    many = scores(documents(docs[:300]).repartition(400))
+    assert few.keys() == many.keys() and all(abs(few[i] - many[i]) < 1e-9 for i in few)
+    empty = documents(docs[:100]).repartition(40).union(documents([]).repartition(3))
+    assert len(scores(empty)) == 100
+    rows = [(1, f"{t} {i}") for i in range(300) for t in ("fair",)] + [(i, t) for i, t in docs[2:300]]
+    model = tx.fit(documents(rows), table, sample=200)
+    assert model.odds
