@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, license_scan, line_dedup, mixing, neighbours, sharding, simhash, suffix_dedup, toxicity, url_filter
+from . import (
+    decontamination,
+    license_scan,
+    line_dedup,
+    mixing,
+    neighbours,
+    packing,
+    sharding,
+    simhash,
+    spelling,
+    suffix_dedup,
+    toxicity,
+    url_filter,
+    whitening,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -79,6 +93,23 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    found = packing.packed(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return found.select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
+    )
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES["op1_suffix_dedup"] = op1_suffix_dedup
 QUERIES["op2_source_mixing"] = op2_source_mixing
 SQL["op2_source_mixing"] = mixing.ORACLE
@@ -91,3 +122,6 @@ QUERIES["op7_simhash_near_dedup"] = op7_simhash_near_dedup
 QUERIES["op8_toxicity"] = op8_toxicity
 QUERIES["op9_decontamination"] = op9_decontamination
 QUERIES["op10_url_filter"] = op10_url_filter
+QUERIES["op11_whitening"] = op11_whitening
+QUERIES["op12_packing"] = op12_packing
+QUERIES["op13_spelling"] = op13_spelling
