@@ -41,7 +41,10 @@ SNIPPETS = [
     "<script>var x = new XMLHttpRequest(); x.open('GET', 'https://xhr.example.org/data.json'); http.delete('/gone/1');"
     " http.put('https://api.partner.io/put/2');</script>",
     "<script>const a='/api/v9/alpha'; const b=`/graphql/query`; const c='/rest/x${y}'; const d='/v3/delta?x=1';</script>",
-    "",
+    # markup inside of other constructs
+    '<style>a{content:"<!--"}</style><a href="/mixed/s">1</a>--><a title="<!--" href="/mixed/q">2</a><a href="/mixed/r" title="-->">'
+    '3</a><script>"<!-- <a href=\'/mixed/no\'>"</script><a title="a > b" href="/mixed/t">4</a><!-- <script> --><a href="/mixed/u">5</a>'
+    '<!-- not closed <a href="/mixed/v">',
     # scripts
     '<script src="/static/app.js"></script><script type="module" src="https://cdn.example.com/lib.js"></script>'
     '<script async src="lib/rel.js"></script>',

@@ -169,10 +169,11 @@ add(
 
 # Links
 _LINKS = (
-    "marked AS (SELECT page_id, url, site, scheme, origin, path, folder, regexp_replace(regexp_replace(regexp_replace(html, "
-    "'<!--[\\s\\S]*?-->', '', 'g'), '<script[^>]*>[\\s\\S]*?</script>', '', 'gi'), '<style[^>]*>[\\s\\S]*?</style>', '', "
-    "'gi') AS m FROM {source}), tags AS (SELECT * EXCLUDE (m, l), unnest(l) AS tag, unnest(range(len(l))) AS i FROM "
-    "(SELECT *, regexp_extract_all(m, '<[a-zA-Z][^>]*>', 0) AS l FROM marked)), attributes AS (SELECT * EXCLUDE (l), "
+    # One search for whole constructs: comments and raw text are taken with all that is in them.
+    "tags AS (SELECT * EXCLUDE (l), unnest(l) AS tag, unnest(range(len(l))) AS i FROM (SELECT page_id, url, site, scheme, "
+    "origin, path, folder, list_filter(regexp_extract_all(html, '(?is)<!--(?:.*?-->|.*)|<script\\b(?:[^>\"'']|\"[^\"]*\"|''[^'']*'')*"
+    ">.*?</script>|<style\\b[^>]*>.*?</style>|<[a-z](?:[^>\"'']|\"[^\"]*\"|''[^'']*'')*>', 0), lambda t: regexp_matches(t, "
+    "'^<[a-zA-Z]') AND NOT regexp_matches(t, '(?i)^<(script|style|noscript)\\b')) AS l FROM {source})), attributes AS (SELECT * EXCLUDE (l), "
     "unnest(l) AS quoted, unnest(range(len(l))) AS j FROM (SELECT *, regexp_extract_all(tag, "
     "'\\s(?:href|src)\\s*=\\s*(\"[^\"]*\"|''[^'']*'')', 1, 'i') AS l FROM tags)), links AS (SELECT *, "
     "replace(quoted[2:-2], '&amp;', '&') AS link FROM attributes)"

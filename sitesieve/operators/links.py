@@ -10,14 +10,50 @@ from html.entities import html5
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import let
+from ..functions.text import WHITESPACE, let
 from ..functions.urls import page_address, site_of, url_join, url_parts
 
 # Possessive repetition keeps the matcher from recursing once per repetition.
-_COMMENT = r"(?s)<!--.*?-->"
-_RAW_TEXT = r"(?is)<(script|style)(?=[\s/>])(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</\1(?=[\s/>])[^>]*>|\z)"
-_START_TAG = r"(?i)<(?!(?:script|style|noscript)[\s/>])[a-z][^\s/>]*+((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
-_ATTRIBUTE = r"([^\s/>=\"']++)\s*+=\s*+(\"[^\"]*+\"|'[^']*+'|[^\s>\"']++)"
+_SPACE = f"[{WHITESPACE}]"
+_NO_NAME = r"\t\n\r\f />\x00"
+_SLACK = f"(?:{_SPACE}|/(?!>))*+"
+_VALUE = f"(?>{_SPACE}*=+{_SPACE}*(?:'[^']*+'|\"[^\"]*+\"|(?!['\"])[^>{WHITESPACE}]*+))?+"
+_ATTRIBUTE = f"(?<=['\"/{WHITESPACE}])[^/>{WHITESPACE}][^/=>{WHITESPACE}]*+{_VALUE}"
+#: The same with the value as a group, for an attribute alone.
+_TARGET = "(?s)^[^/>" + WHITESPACE + "][^/=>" + WHITESPACE + "]*+" + _VALUE.replace("(?:", "(", 1) + "$"
+_ATTRIBUTES = f"(?:{_ATTRIBUTE}{_SLACK})*+{_SPACE}*+"
+_INSIDE = f"[/{WHITESPACE}]*+{_ATTRIBUTES}"
+_NAME = f"[a-zA-Z][^{_NO_NAME}]*+"
+
+
+def _markup() -> str:
+    """One pattern for every construct that begins with ``<``; its second group holds the attributes of a start tag.
+
+    A search with it reads a page once from left to right and takes each construct whole, so markup inside of a comment, a
+    script or a quoted value is not met. A construct that is not closed takes the rest of the page, as nothing after it
+    is read. The alternatives are tried in this order.
+    """
+    rest = "(?s:.*)"
+    keyword = "(?![-_.a-zA-Z0-9])"
+    return "<(?:" + "|".join(
+        (
+            # Comments, then marked sections, declarations, instructions and end tags.
+            f"!--(?:(?s:.*?)--{_SPACE}*>|{rest})",
+            f"!\\[(?:(?i:temp|cdata|ignore|include|rcdata){keyword}(?s:.*?)\\]{_SPACE}*\\]{_SPACE}*>"
+            f"|(?i:if|else|endif){keyword}(?s:.*?)\\]{_SPACE}*>|{rest})",
+            "[!?/][^>]*+>?",
+            # Raw text up to its end tag. A tag that closes itself has none and falls to the next alternatives.
+            f"((?i:script|style))(?=[{_NO_NAME}]){_SLACK}{_ATTRIBUTES}>(?:(?s:.*?)</{_SPACE}*(?iu:\\1){_SPACE}*>|{rest})",
+            f"(?i:script|style|noscript)(?=[{_NO_NAME}]){_INSIDE}/?>",
+            f"{_NAME}({_INSIDE})/?>",
+            # Start tags that are not closed, or go on with something that belongs to no tag.
+            f"{_NAME}{_INSIDE}(?:(?=[a-zA-Z=/]|\\z){rest})?+",
+        )
+    ) + ")"
+
+
+_MARKUP = _markup()
+_LINK = f"(?i)^(?:href|src)(?=[={WHITESPACE}])"
 _REFERENCE = r"&(?:#[0-9]++;?|#[xX][0-9a-fA-F]++;?|[^\t\n\f <&#;]{1,32};?)"
 
 
@@ -82,21 +118,22 @@ def unescape(text: Column) -> Column:
 
 def tag_links(html: Column) -> Column:
     """``array<string>`` of link targets as written, in document order."""
-    markup = F.regexp_replace(F.regexp_replace(html, _COMMENT, ""), _RAW_TEXT, "")
     tags = F.filter(
-        F.regexp_extract_all(markup, F.lit(_START_TAG), F.lit(1)),
+        F.regexp_extract_all(html, F.lit(_MARKUP), F.lit(2)),
         lambda t: F.rlike(t, F.lit("(?i)href|src")),
     )
 
-    def targets(tag: Column) -> Column:
-        found = F.filter(
-            F.regexp_extract_all(tag, F.lit(_ATTRIBUTE), F.lit(0)), lambda a: F.rlike(a, F.lit(r"(?i)^(?:href|src)\s*="))
-        )
-        return F.transform(
-            found,
-            lambda a: unescape(F.regexp_replace(F.regexp_replace(a, r"^[^=]*=\s*", ""), r"^[\"']|[\"']$", "")),
+    def target(attribute: Column) -> Column:
+        # What a bare value begins with is no quote.
+        return let(
+            F.regexp_extract(attribute, _TARGET, 1),
+            lambda v: unescape(F.when(F.rlike(v, F.lit("^['\"]")), F.substr(v, F.lit(2), F.length(v) - 2)).otherwise(v)),
         )
 
+    def targets(tag: Column) -> Column:
+        found = F.filter(F.regexp_extract_all(tag, F.lit(_ATTRIBUTE), F.lit(0)), lambda a: F.rlike(a, F.lit(_LINK)))
+        return F.transform(found, target)
+
     return F.filter(F.flatten(F.transform(tags, targets)), lambda v: v != "")
 
 

@@ -1,5 +1,6 @@
 """Links and reachability, against the standard library's parser and a plain queue."""
 
+import contextlib
 import html
 import random
 from html.parser import HTMLParser
@@ -31,6 +32,11 @@ class Links(HTMLParser):
         '<a href="/n&#47;m&#x2F;&#252;&lt;&quot;">',
         "text < 5 and href='/no' <a\nhref='/multi'\n>",
         '<a href="/unclosed',
+        '<style>a{content:"<!--"}</style><a href="/s">1</a>--><a href="/t">',
+        '<a title="<!--" href="/q">1</a><a href="/r" title="-->">',
+        '<a href="/m">1</a><!-- unterminated <a href="/n">',
+        '<script>"<!--"</script ><a href=/a></script><SCRIPT src=x/><a href=/no></script><a href=/b><script/><a href=/c>',
+        '<![CDATA[<a href=/no>]]><![if x]><a href=/a><!doctype "<a>"><?php <a href=/no> ?><a href=/b></a href="/no"><a href==/c>',
     ],
 )
 def test_tag_links_equal_the_standard_parser(spark, html):
@@ -40,6 +46,46 @@ def test_tag_links_equal_the_standard_parser(spark, html):
     assert row.l == parser.links
 
 
+def parsed(html):
+    parser = Links()
+    with contextlib.suppress(AssertionError):  # unknown marked sections end a parse
+        parser.feed(html)
+    return parser.links
+
+
+PIECES = (
+    "<!--|-->|--|<!-|<!-->|-- >|<script>|</script>|</script |<SCRIPT src=s/>|<script/>|<script a='>'>|<style>|</style >|<noscript>|"
+    "</noscript>|<a href=/a>|<a href='/b'>|<A HREF=\"/c?x=1&amp;y\">|<img src = /d />|<a href='/e\"|\">|'>|<a title='<!--' href=/f>|"
+    "<a title=\"-->\" src='/g'/>|<a href=/h|<a href|=|/|>|<|</|</a>|</a href='/no'>|</ >|<!doctype html>|<!x|<?php|?>|<![cdata[|]]>|"
+    "<![if a]>|<![endif]|]>|<![odd]>| |\n|x|&lt;|<b\x0bc href=/i>|<a\xa0href=/j>|<a b=c/href=/k>|<a 'href=/l>|<a =href=/m>|"
+    "<a href==\"/n\">|<a href=\"\" src>|<a href= \"/o|<a href==\"/p|<a\x00href=/q>|<a xhref=/no href\t=\t'/r'class=z src=/s>|\x1c"
+).split("|")
+
+
+def test_tag_links_equal_the_standard_parser_on_mixes(spark):
+    rng = random.Random(12)
+    pages = ["".join(rng.choice(PIECES) for _ in range(rng.randint(1, 14))) for _ in range(3000)]
+    frame = spark.createDataFrame(list(enumerate(pages)), "i int, html string").select("i", tag_links(F.col("html")).alias("l"))
+    found = {r.i: r.l for r in frame.collect()}
+    wrong = [(page, found[i], parsed(page)) for i, page in enumerate(pages) if found[i] != parsed(page)]
+    assert wrong == []
+
+
+def test_long_constructs(spark):
+    """No construct needs a stack that grows with it."""
+    n = 200_000
+    pages = [
+        "<!--" + "<a href=/no>" * n + "--><a href=/a>",
+        "<script>" + "</scrip>" * n + "</script><a href=/a>",
+        "<a " + "x=1 " * n + "href=/a>",
+        "<a " + "'" * n + " href=/a>",
+        "<" * n + "a href=/a>",
+        "<a href=/a>" + "<!--" * n,
+    ]
+    frame = spark.createDataFrame([(p,) for p in pages], "html string").select(tag_links(F.col("html")).alias("l"))
+    assert [r.l for r in frame.collect()] == [["/a"]] * len(pages)
+
+
 def test_page_links(responses):
     html = (
         '<a href="/x;p?q=1#f"><a href="/x?q=1"><a href="mailto:a@b.c"><a href="https://o.org/y"><a href="//e.com/z">'
