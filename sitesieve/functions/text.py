@@ -7,7 +7,7 @@ Patterns follow the dialect of Python's ``re`` on ``str``: ``\\w \\s \\b \\d`` a
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -119,6 +119,26 @@ def any_literal(words: list[str] | tuple[str, ...]) -> str:
     return "|".join(re.escape(w) for w in words)
 
 
+def longest_literal(words: Iterable[str]) -> str:
+    """A pattern for the longest of the words at a position; words that begin alike share their beginning in it."""
+    tails: dict[str, list[str]] = {}
+    for word in words:
+        if word:
+            tails.setdefault(word[0], []).append(word[1:])
+
+    def branch(first: str, rest: list[str]) -> str:
+        longer = longest_literal(rest)
+        ends = "?" if "" in rest and longer else ""
+        return re.escape(first) + (f"(?:{longer}){ends}" if longer else "")
+
+    return "|".join(branch(first, rest) for first, rest in tails.items())
+
+
+def literals_in(text: Column, words: Iterable[str]) -> Column:
+    """The words that a text holds, each once, by one search; where one begins another at a place, the longer only."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?=({longest_literal(words)}))"), F.lit(1)))
+
+
 def count_of(text: Column, needle: str) -> Column:
     """Occurrences of a non-empty literal."""
     removed = F.length(text) - F.length(F.replace(text, F.lit(needle), F.lit("")))

@@ -9,12 +9,13 @@ from ..functions.encoding import base64_text, claim, claim_kind, token_part
 from ..functions.tables import table
 from ..functions.text import (
     any_literal,
+    case_fold,
     contains_any,
     count_of,
     cut,
-    dialect,
     find_all,
     find_groups,
+    let,
     matches,
     strip,
 )
@@ -61,25 +62,30 @@ CSRF_FIELD = r"""name=["'](?:csrf|_token|csrf_token|authenticity_token|__Request
 
 def open_redirects(page: Page) -> Column:
     """Form targets and script navigations that name a redirect parameter; one row per match."""
-    # All form targets of the page in one short text, on which the searches by parameter then run. A target may begin
-    # at the quote that ends the one before, so neighbours of that kind are kept in one piece.
+    # All form targets and navigations of the page in a short text each, on which the searches by parameter then run. One may
+    # begin at the quote that ends the one before, so neighbours of that kind are kept in one piece.
     targets = F.array_join(
         find_all(page.html, r"""action=["'][^"']*(?:(?<=action=)["'][^"']*(?=["']))*+["']""", ignore_case=True), "\n"
     )
+    places = F.array_join(
+        find_all(page.html, rf"""{REDIRECT_CALL}(?:[^'"wl]++|{REDIRECT_CALL}|[^'"])*+['"]?""", ignore_case=True), "\n"
+    )
     has_form = contains_any(page.fold, "action=")
     has_call = contains_any(page.fold, "location") & matches(page.html, REDIRECT_CALL, ignore_case=True)
-    names = table("name:string,lower:string", [(name, name.lower()) for name in REDIRECT_PARAMETERS])
-    mentioned = F.filter(names, lambda t: F.contains(page.fold, t["lower"]))
 
     def by_name(text: Column, before: str, after: str) -> Column:
-        def search(t: Column) -> Column:
-            pattern = F.concat(F.lit(dialect(before, ignore_case=True)), t["name"], F.lit(after))
-            return F.transform(
-                F.regexp_extract_all(text, pattern, F.lit(0)),
-                lambda m: F.struct(t["ord"].alias("ord"), t["name"].alias("name"), m.alias("text")),
+        def search(i: int, name: str, short: Column, folded: Column) -> Column:
+            found = find_all(short, before + name + after, ignore_case=True)
+            rows = F.transform(
+                found, lambda m: F.struct(F.lit(i).alias("ord"), F.lit(name).alias("name"), m.alias("text"))
             )
+            none = F.array().cast("array<struct<ord:int,name:string,text:string>>")
+            return F.when(F.contains(folded, F.lit(name.lower())), rows).otherwise(none)
 
-        return F.flatten(F.transform(mentioned, search))
+        return let(
+            F.struct(text.alias("short"), case_fold(text, F.lower(text)).alias("folded")),
+            lambda t: F.concat(*(search(i, n, t["short"], t["folded"]) for i, n in enumerate(REDIRECT_PARAMETERS))),
+        )
 
     form_targets = each(
         by_name(targets, r"""action=["'][^"']*""", r"""[^"']*["']"""),
@@ -93,7 +99,7 @@ def open_redirects(page: Page) -> Column:
         metadata={"parameter": lambda m: m["name"], "location": "form"},
     )
     navigations = each(
-        by_name(page.html, rf"""{REDIRECT_CALL}[^'"]*""", r"""[^'"]*['"`]"""),
+        by_name(places, rf"""{REDIRECT_CALL}[^'"]*""", r"""[^'"]*['"`]"""),
         when=has_call,
         rule=lambda m: m["ord"] * 2 + 1,
         type="endpoint",

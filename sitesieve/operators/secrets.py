@@ -64,20 +64,16 @@ def masked(secret: Column) -> Column:
 
 
 def _secrets(page: Page, show: Callable[[Column], Column]) -> Column:
-    # A format is searched only on pages that hold one of its fixed texts.
-    formats = F.filter(
-        table("kind:string,pattern:string,severity:string,needed:array<string>", FORMATS),
-        lambda t: F.exists(t["needed"], lambda n: F.contains(page.html, n)),
-    )
-    found = F.flatten(
-        F.transform(
-            formats,
-            lambda t: F.transform(
-                F.regexp_extract_all(page.html, t["pattern"], F.lit(0)),
-                lambda m: F.struct(t.alias("t"), m.alias("text")),
-            ),
-        )
-    )
+    kinds = table("kind:string,severity:string", [(kind, severity) for kind, _, severity, _ in FORMATS])
+
+    def of_format(place: int, pattern: str, needed: tuple[str, ...]) -> Column:
+        """A format is searched only on pages that hold one of its fixed texts."""
+        found = F.regexp_extract_all(page.html, F.lit(pattern), F.lit(0))
+        rows = F.transform(found, lambda m: F.struct(F.lit(place).alias("place"), m.alias("text")))
+        return F.when(contains_any(page.html, *needed), rows).otherwise(F.array().cast("array<struct<place:int,text:string>>"))
+
+    texts = F.concat(*(of_format(i, pattern, needed) for i, (_, pattern, _, needed) in enumerate(FORMATS)))
+    found = F.transform(texts, lambda m: F.struct(F.get(kinds, m["place"]).alias("t"), m["text"].alias("text")))
     by_format = each(
         found,
         rule=lambda m: m["t"]["ord"],
