@@ -107,7 +107,8 @@ SNIPPETS = [
     "<script>eval ('2'); var fill = 'some more text to make it long enough';</script>",
     # subdomains
     '<a href="https://shop.example.com/x">s</a> https://fonts.googleapis.com/css https://static.example.org:8080/y?z'
-    ' mail: help@mail.corp.example.com and root@example.com <!-- intra.dev.example.net --> "db.api.example" "example"',
+    ' mail: help@mail.corp.example.com and root@example.com <!-- intra.dev.example.net --> "db.api.example" "example"'
+    f" @{'m.' * 127}example.com <!-- {'c.' * 128}example --> \"{'j.' * 200}example\" https://{'u.' * 200}example.org/x",
     # graphql, comments
     "<script>const q = `query { me }`; const m = 'mutation { x }';</script><!-- TODO: remove debug code -->"
     "<!-- plain words --><!-- key --><!---->",

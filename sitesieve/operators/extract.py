@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.reuse import per_session
 from ..functions.text import case_fold
 from . import registry
-from .candidates import explode_candidates, merge_candidates
+from .candidates import explode_candidates, merge_candidates, no_candidates
 from .page import page_columns, with_page_columns
 from .technology import detect, searched_text
 
@@ -18,28 +18,40 @@ _KEYS = ("site", "url", "page_id", "visit_order")
 _USES_TECHNOLOGY = {"fingerprint", "wordpress", "technology_hints"}
 
 
-def with_technologies(pages: DataFrame) -> DataFrame:
-    """Add the technologies of each page, as an array in signature order."""
+def with_technologies(pages: DataFrame, first_only: bool = False) -> DataFrame:
+    """Add the technologies of each page, or of first pages alone, as an array in signature order."""
     text = searched_text(page_columns())
+    text = F.when(F.col("first_page"), text) if first_only else text
     searched = pages.select("*", text.alias("searched"), F.lower(text).alias("searched_lower"))
     folded = searched.select("*", case_fold(F.col("searched"), F.col("searched_lower")).alias("searched_fold"))
     detected = per_session("technologies", lambda: detect(F.col("searched"), F.col("searched_fold")))
+    detected = F.when(F.col("first_page"), detected) if first_only else detected
     return folded.select("*", detected.alias("technologies"))
 
 
-def extract(responses: DataFrame, extractors: Sequence[str]) -> DataFrame:
-    """Findings of the named extractors on every row of ``responses``. Narrow: no data moves between tasks."""
-    pages = with_page_columns(responses)
-    if _USES_TECHNOLOGY & set(extractors):
-        pages = with_technologies(pages)
+def extract(responses: DataFrame, extractors: Sequence[str], on_first_pages: Sequence[str] = ()) -> DataFrame:
+    """Findings of the named extractors on every row of ``responses``. Narrow: no data moves between tasks.
+
+    Those among ``on_first_pages`` run on rows with ``first_page`` only, in the same pass over the pages.
+    """
+    gated = frozenset(on_first_pages)
+    pages = with_page_columns(responses, *(["first_page"] if gated else []))
+    users = _USES_TECHNOLOGY & set(extractors)
+    if users:
+        pages = with_technologies(pages, users <= gated)
     entries = tuple(sorted((registry.entry(name) for name in extractors), key=lambda e: e.order))
+    on_first = tuple(registry.entry(name) for name in extractors if name in gated)
 
     def candidates() -> Column:
         page = page_columns()
         arrays = [(e.order, per_session(e, lambda e=e: e.extract(page))) for e in entries]
+        arrays = [
+            (e.order, F.when(F.col("first_page"), found).otherwise(no_candidates()) if e in on_first else found)
+            for e, (_, found) in zip(entries, arrays, strict=True)
+        ]
         return merge_candidates(arrays, page.base)
 
-    return explode_candidates(pages, per_session(entries, candidates), _KEYS)
+    return explode_candidates(pages, per_session((entries, on_first), candidates), _KEYS)
 
 
 def technologies(responses: DataFrame) -> DataFrame:

@@ -88,6 +88,7 @@ def _derived_columns() -> list[Column]:
     ]
 
 
-def with_page_columns(responses: DataFrame) -> DataFrame:
-    texts = responses.select(*per_session("text_columns", _text_columns))
+def with_page_columns(responses: DataFrame, *more: str) -> DataFrame:
+    """The responses with the columns of :class:`Page`, and ``more`` of their own."""
+    texts = responses.select(*per_session("text_columns", _text_columns), *more)
     return texts.select(*per_session("derived_columns", _derived_columns))

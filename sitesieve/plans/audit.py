@@ -11,25 +11,29 @@ from ..operators import registry
 from ..operators.documents import fetched_sitemaps, robots_findings, sitemap_findings, sitemap_requests
 from ..operators.extract import extract, technologies
 from ..schema import FINDING_COLUMNS, FINDING_ORDER
-from ..sources.captures import analyzable
+from ..sources.captures import analyzable, with_first_pages
 
 
 def first_pages(pages: DataFrame) -> DataFrame:
     """The first page of every site, by visit order.
 
-    The first pages are found on the narrow columns alone, with one number per site and task shuffled, and then looked up
-    by a semi join on the page id. The lookup is broadcast where its measured size allows; above that a runtime filter
-    keeps nearly all other pages from being moved, and captures bucketed by page are not moved at all.
+    Captures stored by ``write_captures`` have them in files of their own. For others they are found on the narrow columns
+    alone, with one number per site and task shuffled, and looked up by a semi join on the page id, which moves pages where
+    the sites are too many to be broadcast; captures bucketed by page are not moved.
     """
+    if "first_page" in pages.columns:
+        return pages.where("first_page")
     first = pages.groupBy("site").agg(F.min_by("page_id", "visit_order").alias("page_id"))
     return pages.join(first.select("page_id"), "page_id", "left_semi").select(*pages.columns)
 
 
 def page_findings(pages: DataFrame) -> DataFrame:
-    """All findings of the audit on analyzable pages, repeated ones included."""
-    everywhere = extract(pages, registry.names(in_audit=True, first_page_only=False))
-    on_first = extract(first_pages(pages), registry.names(in_audit=True, first_page_only=True))
-    return everywhere.unionByName(on_first)
+    """All findings of the audit on analyzable pages, repeated ones included. Every page is read once."""
+    return extract(
+        with_first_pages(pages),
+        registry.names(in_audit=True),
+        on_first_pages=registry.names(in_audit=True, first_page_only=True),
+    )
 
 
 def deduplicate(findings: DataFrame) -> DataFrame:

@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from ..operators.links import page_addresses
 from ..sources.captures import analyzable
 from ..sources.storage import settle
-from .audit import first_pages
 
 
 def link_table(responses: DataFrame, follow_external: bool = False) -> DataFrame:
@@ -84,4 +83,4 @@ def reachable(
 
 def start_pages(responses: DataFrame) -> DataFrame:
     """``(site, url)``: the first capture of every site."""
-    return first_pages(responses).select("site", "url")
+    return responses.groupBy("site").agg(F.min_by("url", "visit_order").alias("url"))

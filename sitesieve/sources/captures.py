@@ -18,6 +18,11 @@ def read_responses(spark: SparkSession, path: str, format: str = "parquet") -> D
     return spark.read.schema(RESPONSES).format(format).load(path)
 
 
+def read_flagged(spark: SparkSession, path: str) -> DataFrame:
+    """Read captures stored by :func:`write_captures`: with ``first_page``, by which files are pruned."""
+    return spark.read.schema(f"{RESPONSES}, first_page boolean").parquet(path)
+
+
 def normalise(captures: DataFrame) -> DataFrame:
     """Bring captures into the responses schema, before they are stored. What is missing gets a neutral value.
 
@@ -53,6 +58,20 @@ def analyzable(responses: DataFrame) -> DataFrame:
     )
 
 
+def with_first_pages(responses: DataFrame) -> DataFrame:
+    """Add ``first_page``: whether a capture is the first analysable page of its site, by visit order.
+
+    Captures stored with the column are returned as they are. For others the first pages are found on the narrow columns, with
+    one number per site and task shuffled, and looked up by a join on the page id. That join moves the captures once where
+    the sites are too many to be broadcast, so it belongs where captures are stored.
+    """
+    if "first_page" in responses.columns:
+        return responses
+    first = analyzable(responses).groupBy("site").agg(F.min_by("page_id", "visit_order").alias("page_id"))
+    marked = responses.join(first.select("page_id", F.lit(True).alias("first_page")), "page_id", "left")
+    return marked.select(*responses.columns, F.coalesce("first_page", F.lit(False)).alias("first_page"))
+
+
 def errors(responses: DataFrame) -> DataFrame:
     """``(site, page_id, message)`` of captures that failed."""
     return responses.where(F.col("error").isNotNull()).select(
@@ -68,6 +87,14 @@ def visited(responses: DataFrame, *documents: DataFrame) -> DataFrame:
     return rows.distinct()
 
 
+def write_captures(responses: DataFrame, path: str) -> None:
+    """Store captures with ``first_page``, first pages in files of their own.
+
+    An audit of them reads each page once and looks nothing up; what concerns first pages alone reads only their files.
+    """
+    with_first_pages(responses).write.mode("overwrite").partitionBy("first_page").parquet(path)
+
+
 def write_bucketed(responses: DataFrame, table: str, buckets: int) -> None:
     """Store captures bucketed by page, so that looking up single pages later moves no page.
 

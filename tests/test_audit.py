@@ -178,6 +178,32 @@ class TestAudit:
         lookup = plan[plan.index("Aggregate") :]
         assert "html" not in lookup[lookup.index("FileScan") :].split("ReadSchema")[1]
 
+    def test_flagged_captures_are_read_once_and_not_moved(self, spark, responses, tmp_path):
+        rows = [{"html": f"jquery <a href=/x{i}>", "site": f"s{i % 3}.org", "visit_order": i % 11, "status": 500 if i < 3 else 200} for i in range(30)]
+        rows = [r | {"visit_order": i} for i, r in enumerate(rows)]
+        plain = responses(*rows)
+        ca.write_captures(plain, str(tmp_path / "flagged"))
+        stored = ca.read_flagged(spark, str(tmp_path / "flagged"))
+        assert sorted(r.page_id for r in stored.where("first_page").collect()) == [3, 4, 5]
+        columns = ["site", "page_id", "type", "value", "source", "severity", "context"]
+        found = sorted(map(tuple, au.audit(stored).select(*columns).collect()))
+        assert found and found == sorted(map(tuple, au.audit(plain).select(*columns).collect()))
+        settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+        before = {k: spark.conf.get(k) for k in settings}
+        try:
+            for key, value in settings.items():
+                spark.conf.set(key, value)
+            plan = au.audit(stored)._jdf.queryExecution().executedPlan()
+            scans = plan.toString().split("FileScan")[1:]
+            assert len(scans) == 1 and "html#" in scans[0].split("Batched")[0]
+            assert "html" not in " ".join(outputs_of_exchanges(plan))
+            stack = au.site_technologies(stored)._jdf.queryExecution().executedPlan().toString()
+            assert "Exchange" not in stack, [line[:200] for line in stack.split("\n")]
+            assert "first_page" in stack.split("PartitionFilters: ")[1].split("]")[0]
+        finally:
+            for key, value in before.items():
+                spark.conf.set(key, value)
+
     def test_bucketed_captures_are_not_moved_for_the_lookup(self, spark, responses):
         frame = responses(*[{"html": "x", "site": f"s{i % 3}", "visit_order": i} for i in range(30)])
         ca.write_bucketed(frame, "captures_by_page", 4)
@@ -230,6 +256,13 @@ class TestAudit:
         assert score.score == rp.scores(stored).first().score
 
 
+def outputs_of_exchanges(plan):
+    """The columns that every exchange of a plan moves."""
+    found = [plan.output().mkString(" ")] if "Exchange" in plan.nodeName() else []
+    children = plan.children()
+    return found + [o for i in range(children.size()) for o in outputs_of_exchanges(children.apply(i))]
+
+
 class TestPlans:
     """What must hold however large the tables and however uneven the sites are."""
 
@@ -255,6 +288,25 @@ class TestPlans:
             plan = self.plan(listed)
             assert "rangepartitioning(site" in plan and "Window" not in plan
 
+    def test_patterns_are_literals(self, responses, monkeypatch):
+        """No search with a pattern that stands in the data, which would be compiled row by row."""
+        from sitesieve.functions import reuse
+
+        def checked(name):
+            real, literal = getattr(F, name), "Literal"
+
+            def run(text, pattern, *rest):
+                node = pattern._jc.node().getClass().getSimpleName() if hasattr(pattern, "_jc") else literal
+                assert isinstance(pattern, str) or node == literal, (name, node)
+                return real(text, pattern, *rest)
+
+            return run
+
+        for name in ("rlike", "regexp_extract", "regexp_extract_all", "regexp_replace", "regexp_count", "split"):
+            monkeypatch.setattr(F, name, checked(name))
+        monkeypatch.setattr(reuse, "_built", type(reuse._built)())
+        assert extract(responses({"html": "x"}), registry.names()).count() > 0
+
     def test_no_cross_join_and_no_python_in_the_audit(self, responses):
         plan = self.plan(au.audit(responses({"html": "x"})))
         assert "CartesianProduct" not in plan and "NestedLoop" not in plan and "Python" not in plan

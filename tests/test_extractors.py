@@ -1,5 +1,6 @@
 """Extractors on single pages: what each must find and what it must leave alone."""
 
+import random
 import re
 
 import pytest
@@ -510,3 +511,39 @@ def test_patterns_agree_with_python_on_random_markup(spark, find):
         for i, (_, pattern) in enumerate(patterns):
             expected = [(m.group(0), m.group(1)) for m in re.finditer(pattern, row.t, re.IGNORECASE)]
             assert [(m.g0, m.g1) for m in row[f"p{i}"]] == expected, (pattern, row.t)
+
+
+def test_hosts_agree_with_python_on_random_markup(spark, responses):
+    """Hosts of any number of labels, around the name of the site of each page."""
+    from urllib.parse import urlparse
+
+    from sitesieve.operators.extract import extract
+    from sitesieve.operators.subdomains import THIRD_PARTIES
+
+    names = ["https://www.example.com/", "https://co/", "http://a.b-c.org:80/", "https://x_y.é.net/x", "https://localhost:81/p"]
+    pieces = [
+        "example", "co", "b-c", "é", "x", "ab", "1", "-", ".", ".", ".", "a.", "localhost:81", "@", '"', '"', "http://", "https://", "<!--",
+        "-->", " ", "\n", "_", "/", ">", "sub.example.com", "w3.org", ".example", ".co", "x.b-c", "www.co", "q.localhost:81",
+    ]
+    rng = random.Random(5)
+    rows = [{"url": rng.choice(names), "html": "".join(rng.choice(pieces) for _ in range(rng.randint(1, 40)))} for _ in range(1500)]
+    rows += [{"url": names[0], "html": f'@{"l." * n}example "{"l." * n}example" --> {"l." * n}example https://{"l." * n}example'} for n in (127, 128, 200, 5000)]
+
+    def expected(url, html):
+        netloc = urlparse(url).netloc
+        own = re.escape(netloc.split(".")[-2] if "." in netloc else netloc)
+        labels = r"(?:[a-zA-Z0-9][-a-zA-Z0-9]*\.)+"
+        hosts = re.findall(rf"https?://({labels}[a-zA-Z]{{2,}})", html)
+        plain = netloc.split(".")[-2] if "." in netloc else netloc
+        found = [h for h in hosts if not any(t in h for t in THIRD_PARTIES) and plain in h and h != netloc]
+        found += re.findall(rf"@({labels}{own}\b)", html)
+        found += re.findall(rf"(?:<!--|-->)\s*({labels}{own})", html)
+        found += re.findall(rf'"(?:[a-zA-Z0-9][-a-zA-Z0-9]*\.)*([a-zA-Z0-9][-a-zA-Z0-9]*\.){own}"', html)
+        return list(dict.fromkeys(found))
+
+    got = {}
+    order = ["page_id", "rule_ord", "match_ord"]
+    for r in extract(responses(*rows), ["subdomains"]).orderBy(*order).collect():
+        got.setdefault(r.page_id, []).append(r.value)
+    for i, row in enumerate(rows):
+        assert got.get(i, []) == expected(row["url"], row["html"]), row
