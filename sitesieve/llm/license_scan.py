@@ -92,6 +92,12 @@ def words_of(paragraph: Column) -> Column:
     return F.filter(F.split(F.lower(paragraph), r"[^\p{L}\p{N}.-]+|[.-]+(?![\p{L}\p{N}])"), lambda w: w != "")
 
 
+def _lines_of_words(text: Column) -> Column:
+    """``words_of`` of every line, by one search of the whole text."""
+    spaced = F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}.\n-]+|[.-]+(?![\p{L}\p{N}])", " ")
+    return F.transform(F.split(spaced, "\n"), lambda line: F.filter(F.split(line, " "), lambda w: w != ""))
+
+
 def grams(words: Column, n: int) -> Column:
     """Runs of ``n`` words."""
     last = F.size(words) - n
@@ -157,7 +163,9 @@ def _scored(rows: DataFrame, model: Classifier) -> DataFrame:
 
 
 def notices(documents: DataFrame, model: Classifier | None) -> DataFrame:
-    """``doc_id``, ``paragraph``, ``family``, ``probability``, ``shared`` and ``confirmed`` of every predicted notice."""
+    """``doc_id``, ``paragraph``, ``family``, ``probability``, ``shared`` and ``confirmed`` of every predicted notice that has a
+    word pair of a template.
+    """
     spark = documents.sparkSession
     if model is None:
         shape = "doc_id long, paragraph int, family string, probability double, shared double, confirmed boolean"
@@ -186,27 +194,41 @@ def notices(documents: DataFrame, model: Classifier | None) -> DataFrame:
 
 
 def _judged(documents: DataFrame, known: list[str]) -> DataFrame:
-    """``_row``, ``doc_id``, ``paragraph`` and of every paragraph and part of one the ``full`` words and those to classify."""
-    each = F.transform(F.split("text", "\n"), lambda x: F.struct(words_of(x).alias("all"), x.alias("line")))
-    lines = documents.select(
-        F.monotonically_increasing_id().alias("_row"), F.col("doc_id").cast("long").alias("doc_id"),
-        F.posexplode(each).alias("paragraph", "each"),
-    )
-    lines = lines.select("_row", "doc_id", "paragraph", F.col("each.all").alias("all"), F.col("each.line").alias("line"))
-    lines = lines.filter(F.size("all") >= 2)
+    """``_row``, ``doc_id``, ``paragraph`` and of every paragraph and part of one the ``full`` words and those to classify.
+
+    A notice is confirmed by word pairs it shares with a template, so paragraphs without any known pair are left out at once,
+    before rows are made of them.
+    """
     met = lambda words: F.transform(grams(words, 2), lambda p: p.isin(known))
     number = lambda flags: F.size(F.filter(flags, lambda x: x))
+    lines = F.split(F.col("text"), "\n")
+    each = F.transform(
+        _lines_of_words(F.col("text")), lambda x, i: F.struct(i.alias("paragraph"), x.alias("all"), met(x).alias("flags"))
+    )
+    each = F.filter(each, lambda x: F.exists(x["flags"], lambda f: f))
+    rows = documents.select(
+        F.monotonically_increasing_id().alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), lines.alias("lines"),
+        F.inline(each),
+    )
+    rows = rows.select("*", F.get("lines", F.col("paragraph")).alias("line"))
     sentences = F.transform(F.split("line", SENTENCE), words_of)
     starts = F.sequence(F.lit(1), F.size("all"), F.lit(WINDOW // 2))
     windows = F.transform(starts, lambda i: F.slice("all", i, WINDOW))
-    parts = F.array_distinct(F.concat(sentences, windows))
-    near = lines.filter(number(met(F.col("all"))) >= 2)
-    # Flags are made before the rows are, or Spark would make them again for every word.
-    parts = F.transform(parts, lambda x: F.struct(x.alias("full"), met(x).alias("flags")))
-    near = near.select("_row", "doc_id", "paragraph", F.inline(parts)).filter(number(F.col("flags")) >= 2)
-    kept = F.filter("full", lambda w, i: F.coalesce(F.get("flags", i), F.lit(False)) | F.coalesce(F.get("flags", i - 1), F.lit(False)))
-    near = near.select("_row", "doc_id", "paragraph", "full", kept.alias("words"))
-    return lines.select("_row", "doc_id", "paragraph", F.col("all").alias("full"), F.col("all").alias("words")).union(near)
+    parts = F.transform(
+        F.array_distinct(F.concat(sentences, windows)), lambda x: F.struct(x.alias("full"), met(x).alias("flags"))
+    )
+    at = lambda flags, i: F.coalesce(F.get(flags, i), F.lit(False))
+    parts = F.transform(
+        F.filter(parts, lambda x: number(x["flags"]) >= 2),
+        lambda x: F.struct(
+            x["full"].alias("full"),
+            F.filter(x["full"], lambda w, i: at(x["flags"], i) | at(x["flags"], i - 1)).alias("words"),
+        ),
+    )
+    whole = F.array(F.struct(F.col("all").alias("full"), F.col("all").alias("words")))
+    # Without a second known pair no part of a paragraph has two.
+    every = F.when(number(F.col("flags")) >= 2, F.concat(whole, parts)).otherwise(whole)
+    return rows.select("_row", "doc_id", "paragraph", F.inline(every))
 
 
 def licences(documents: DataFrame, unknown: int = UNKNOWN) -> DataFrame:

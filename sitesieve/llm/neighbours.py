@@ -15,8 +15,8 @@ over their squared distance, is chi-square with ``AXES`` degrees of freedom.
 Queries travel to cells, and cells never meet one another. A cell with more vectors than ``CELL``, as where many vectors are
 equal, is dealt over several tasks by a hash of the id. A query's answers are merged by a window of k rows per visited cell.
 
-Nulls: vectors that are null, empty, zero or hold null or non-finite components, vectors of another length than the first in
-order of id, and rows without an id take no part. Of rows with the same id each is a candidate, but none for a query of that
+Nulls: vectors that are null, empty, zero or hold null or non-finite components, vectors of another length than most (of
+equally common lengths the longest counts), and rows without an id take no part. Of rows with the same id each is a candidate, but none for a query of that
 id. Ties in score go to the smaller id. An empty table gives no rows.
 """
 
@@ -118,6 +118,14 @@ def box_distances(queries: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.
     return out
 
 
+def inner_products(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Inner products added up component by component, so that equal vectors have equal ones wherever they stand."""
+    out = np.zeros(len(vectors))
+    for j, x in enumerate(query.tolist()):
+        out += vectors[:, j] * x
+    return out
+
+
 class Cell:
     """The vectors of one cell in leaves of their projections."""
 
@@ -144,6 +152,8 @@ class Cell:
             kth = known[i]
             # Distance in the lengthened space: twice the squared bound less twice the inner product.
             square = longest * longest + float(queries[i] @ queries[i])
+            # More than any two ways to add up an inner product differ.
+            slack = 4 * queries.shape[1] * np.finfo(float).eps * longest * math.sqrt(float(queries[i] @ queries[i]))
             at = 0
             while at < len(nearest[i]):
                 bound = reach * max(0.0, square - 2 * kth) if kth > -np.inf else np.inf
@@ -155,8 +165,14 @@ class Cell:
                 at += 4
                 rows = np.concatenate([np.arange(self.starts[x], self.ends[x]) for x in step])
                 rows = rows[self.ids[rows] != own[i]]
+                # A matrix product rounds by a row's place in its block. It only tells which rows can be among the k.
+                rough = self.vectors[rows] @ queries[i]
+                least = scores[-1] if len(ids) == k else -np.inf
+                if len(rows) > k:
+                    least = max(least, np.partition(rough, -k)[-k] - slack)
+                rows = rows[rough >= least - slack]
                 ids = np.concatenate([ids, self.ids[rows]])
-                scores = np.concatenate([scores, self.vectors[rows] @ queries[i]])
+                scores = np.concatenate([scores, inner_products(self.vectors[rows], queries[i])])
                 best = np.lexsort((ids, -scores))[:k]
                 ids, scores = ids[best], scores[best]
                 if len(ids) == k:
@@ -268,10 +284,11 @@ def nearest(
     shape = "query_id long, rank int, vec_id long, score double"
     spark = embeddings.sparkSession
     rows = stored(clean(embeddings), "vectors")
-    first = rows.orderBy("vec_id").select(F.size("v")).first()
-    if first is None:
+    lengths = rows.groupBy(F.size("v").alias("size")).agg(F.count("*").alias("n"))
+    common = lengths.orderBy(F.desc("n"), F.desc("size")).first()
+    if common is None:
         return spark.createDataFrame([], shape)
-    size = first[0]
+    size = common["size"]
     rows = rows.filter(F.size("v") == size)
     square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
     number, longest = rows.agg(F.count("*"), F.sqrt(F.max(square))).first()

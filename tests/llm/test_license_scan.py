@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from sitesieve.llm import license_scan as ls
 
 
@@ -46,5 +48,30 @@ def test_short_and_embedded_notices(documents):
     assert all(found[i][0] == 0 for i in range(150))
 
 
+def test_lines_of_words(spark):
+    """One search of the text finds the words that a search of each line finds."""
+    rng = random.Random(9)
+    pieces = ["a", "B", "é", "1", ".", "-", "..", " ", "\n", "\t", "!", "\r", "x.y", "2.0", "\u2028", "İ", "日"]
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.randint(0, 25))) for _ in range(500)]
+    frame = spark.createDataFrame([(t,) for t in texts], "text string")
+    whole = ls._lines_of_words(F.col("text"))
+    each = F.transform(F.split("text", "\n"), ls.words_of)
+    assert frame.filter(~whole.eqNullSafe(each)).count() == 0
+
+
+def test_paragraphs_without_a_known_pair_are_never_confirmed(spark, documents):
+    """What is left out before the classifier is what no template confirms."""
+    rng = random.Random(10)
+    words = "all rights reserved licensed under the mit license of this work is and public gpl version 3 house".split()
+    rows = [(i, "\n".join(" ".join(rng.choice(words) for _ in range(rng.randint(1, 9))) for _ in range(3))) for i in range(200)]
+    templates = ls._templates(spark).select("family", "pairs").collect()
+    known = {p for r in templates for p in r["pairs"]}
+    judged = ls._judged(documents(rows), sorted(known)).collect()
+    kept = {(r["doc_id"], r["paragraph"]) for r in judged}
+    pairs = lambda line: list(zip(line.split(), line.split()[1:]))
+    expected = {(i, k) for i, t in rows for k, line in enumerate(t.split("\n")) if any(" ".join(p) in known for p in pairs(line))}
+    assert kept == expected
+
+
 def test_empty_table(documents):
     assert ls.licences(documents([])).count() == 0

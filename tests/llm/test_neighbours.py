@@ -53,6 +53,40 @@ def test_odd_vectors(spark):
     assert got[20] == [(0, 0.5), (1, 0.5), (2, 0.5)]
 
 
+@pytest.mark.parametrize("cell", [10_000, 700, 130])
+def test_ties(spark, cell):
+    """Equal vectors have equal scores, so the smaller ids come first wherever the vectors stand."""
+    rng = np.random.default_rng(cell)
+    base = rng.standard_normal((4, 37))
+    vectors = np.concatenate([np.repeat(base, [3000, 40, 25, 1], axis=0), 0.3 * rng.standard_normal((900, 37))])
+    order = rng.permutation(len(vectors))
+    vectors = vectors[order]
+    ids = np.arange(len(vectors))
+    frame = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, vectors)], "vec_id long, embedding array<double>")
+    found = nb.nearest(frame.repartition(7), frame.filter("vec_id % 200 = 0"), cell_size=cell, sample=500).collect()
+    got = {}
+    for r in sorted(found, key=lambda r: (r["query_id"], r["rank"])):
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    for q, rows in got.items():
+        scores = nb.inner_products(vectors, vectors[q])
+        assert len(rows) == 20 and rows == sorted(rows, key=lambda x: (-x[1], x[0]))
+        assert all(s == scores[i] for i, s in rows)
+        same = {}
+        for i, s in rows:
+            same.setdefault(s, []).append(i)
+        last = rows[-1][1]
+        for s, members in same.items():
+            every = [int(i) for i in np.flatnonzero(scores == s) if i != q]
+            assert members == every[: len(members)] and (s == last or members == every)
+
+
+def test_one_vector_of_another_length(spark):
+    rows = [(0, [1.0]), *((i, [1.0, float(i)]) for i in range(1, 30))]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = nb.nearest(frame, frame.filter("vec_id % 20 = 0")).collect()
+    assert {r["query_id"] for r in found} == {20} and [r["vec_id"] for r in found if r["rank"] == 1] == [29]
+
+
 def test_empty_table(spark):
     frame = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert nb.nearest(frame, frame).count() == 0
