@@ -17,12 +17,16 @@ from sitesieve.operators.documents import (
     sitemap_requests,
     sitemap_urls,
 )
+from sitesieve.operators import registry
+from sitesieve.operators.extract import errors as extractor_failures
 from sitesieve.operators.extract import extract
 from sitesieve.operators.links import page_links, tag_links
 from sitesieve.operators.page import quoted_segments
+from sitesieve.operators.python import register_function
 from sitesieve.plans import audit as au
 from sitesieve.plans import reachability as re_
 from sitesieve.plans import reports as rp
+from sitesieve.plans.crawl import audit_reached
 from sitesieve.sources import captures as ca
 from sitesieve.sources.storage import settle
 
@@ -383,6 +387,53 @@ add(
         "(site, severity), (site))"
     ),
 )
+# The audit of the pages within one link of the first, and of no others.
+_NEAR = (
+    f"captured AS (SELECT * FROM ok QUALIFY row_number() OVER (PARTITION BY url ORDER BY page_id) = 1), "
+    f"{_LINKS.format(source='captured')}, {_ADDRESSES}, crawl AS (SELECT site, arg_min(url, page_id) AS url FROM r GROUP BY site "
+    "UNION SELECT c.site, a.link FROM (SELECT site, arg_min(url, page_id) AS url FROM r GROUP BY site) c JOIN addresses a "
+    "ON a.url = c.url WHERE regexp_extract(a.link, '^[a-z]+://([^/?#]*)', 1) = a.site), "
+    "near AS (SELECT ok.* FROM ok JOIN crawl USING (site, url))"
+)
+_FIRSTS = "firsts AS (SELECT site, min(page_id) AS page_id FROM {} GROUP BY site)"
+add(
+    "audit_reachable_summary",
+    lambda spark, sf: rp.counts(
+        audit_reached(ov.responses(spark, sf), ov.robots_docs(spark, sf), ov.sitemap_docs(spark, sf), max_depth=1)
+    ),
+    o.over_findings(
+        "SELECT site, type, severity, count(*) AS findings FROM findings GROUP BY GROUPING SETS ((site, type), "
+        "(site, severity), (site))"
+    )
+    .replace(_FIRSTS.format("ok"), f"{_NEAR}, {_FIRSTS.format('near')}", 1)
+    .replace("IN (SELECT page_id FROM ok)", "IN (SELECT page_id FROM near)"),
+)
+
+
+def _powered(url: str, html: str, headers: dict[str, str]):
+    """An extractor as a user writes one; it fails on some pages."""
+    if "WordPress" in html:
+        raise ValueError("not made for this page")
+    yield {"value": f"{len(url)} characters", "type": "info", "severity": "low", "context": headers.get("server", "")}
+
+
+def _python_extractor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = ca.analyzable(ov.responses(spark, sf_dir))
+    register_function("powered", _powered, in_audit=False)
+    try:
+        found = extract(pages, ["powered"]).select("site", "page_id", F.concat_ws(", ", "severity", "value", "source", "context").alias("message"))
+        return found.union(extractor_failures(pages, ["powered"]))
+    finally:
+        registry.unregister("powered")
+
+
+add(
+    "python_extractor",
+    _python_extractor,
+    f"WITH {o.prelude()} SELECT ok.site, ok.page_id, CASE WHEN contains(html, 'WordPress') THEN url || ':powered: not made for this "
+    "page' ELSE 'low, ' || length(url) || ' characters, powered, ' || coalesce(l.value, '') END AS message FROM ok LEFT JOIN "
+    "lower_headers l ON l.hid = ok.hid AND l.name = 'server'",
+)
 _SCORE = (
     "greatest(100 - 20 * count(*) FILTER (severity = 'critical') - 8 * count(*) FILTER (severity = 'high') - 2 * "
     "least(count(*) FILTER (severity = 'medium'), 5), 0)"

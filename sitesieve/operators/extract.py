@@ -54,6 +54,17 @@ def extract(responses: DataFrame, extractors: Sequence[str], on_first_pages: Seq
     return explode_candidates(pages, per_session((entries, on_first), candidates), _KEYS)
 
 
+def errors(responses: DataFrame, extractors: Sequence[str]) -> DataFrame:
+    """``(site, page_id, message)``: a row for each page and extractor of the named ones that fails on it."""
+    shape = "site string, page_id bigint, message string"
+    page = page_columns()
+    messages = [e.failed(page) for e in map(registry.entry, extractors) if e.failed is not None]
+    if not messages:
+        return responses.sparkSession.createDataFrame([], shape)
+    pages = with_page_columns(responses).select("site", "page_id", F.array(*messages).alias("messages"))
+    return pages.select("site", "page_id", F.explode(F.array_compact("messages")).alias("message"))
+
+
 def technologies(responses: DataFrame) -> DataFrame:
     """``(site, page_id, name, category, version)``, one row per technology of a response."""
     pages = with_technologies(with_page_columns(responses))

@@ -1,6 +1,7 @@
 """The extractors by name, in the order in which a page's findings are listed.
 
-Own extractors can be added with :func:`register`: a function from :class:`Page` to a candidates column.
+Own extractors can be added with :func:`register`: a function from :class:`Page` to a candidates column. Python functions are
+added with ``operators.python.register_function``.
 """
 
 from __future__ import annotations
@@ -22,16 +23,25 @@ class Entry:
     extract: Extractor
     in_audit: bool = True
     first_page_only: bool = False
+    #: Message of a failure on a page, null without one; column functions do not fail.
+    failed: Extractor | None = None
 
 
 _REGISTRY: dict[str, Entry] = {}
 
 
-def register(name: str, extract: Extractor, *, in_audit: bool = True, first_page_only: bool = False) -> None:
+def register(
+    name: str,
+    extract: Extractor,
+    *,
+    in_audit: bool = True,
+    first_page_only: bool = False,
+    failed: Extractor | None = None,
+) -> None:
     """Add an extractor after all registered ones."""
     if name in _REGISTRY:
         raise ValueError(f"extractor {name!r} is registered already")
-    _REGISTRY[name] = Entry(len(_REGISTRY), extract, in_audit, first_page_only)
+    _REGISTRY[name] = Entry(len(_REGISTRY), extract, in_audit, first_page_only, failed)
 
 
 def unregister(name: str) -> None:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import registry
 from ..operators.documents import fetched_sitemaps, robots_findings, sitemap_findings, sitemap_requests
-from ..operators.extract import extract, technologies
+from ..operators.extract import errors, extract, technologies
 from ..schema import FINDING_COLUMNS, FINDING_ORDER
 from ..sources.captures import analyzable, with_first_pages
 
@@ -36,6 +36,13 @@ def page_findings(pages: DataFrame) -> DataFrame:
     )
 
 
+def extractor_errors(responses: DataFrame) -> DataFrame:
+    """``(site, page_id, message)`` of the audit's extractors that fail on a page."""
+    pages = with_first_pages(analyzable(responses))
+    every = errors(pages, registry.names(in_audit=True, first_page_only=False))
+    return every.unionByName(errors(pages.where("first_page"), registry.names(in_audit=True, first_page_only=True)))
+
+
 def deduplicate(findings: DataFrame) -> DataFrame:
     """The first finding per site, type, value and source. Pre-aggregated before the shuffle."""
     order = F.struct(*FINDING_ORDER)

@@ -9,7 +9,7 @@ from ..operators.documents import fetched_sitemaps
 from ..sources.captures import errors, visited
 from ..sources.storage import write_findings, write_reports
 from . import reports as rp
-from .audit import audit, site_technologies, sitemap_plan
+from .audit import audit, extractor_errors, site_technologies, sitemap_plan
 
 
 def visited_addresses(
@@ -40,7 +40,8 @@ def run(
     write_findings(audit(responses, robots, sitemaps), paths["findings"])
     site_technologies(responses).write.mode("overwrite").parquet(paths["technologies"])
     visited_addresses(responses, robots, sitemaps).write.mode("overwrite").parquet(paths["visited"])
-    errors(responses).write.mode("overwrite").parquet(paths["errors"])
+    failed = errors(responses).unionByName(extractor_errors(responses))
+    failed.write.mode("overwrite").parquet(paths["errors"])
 
     findings, addresses, failed, technologies = (
         spark.read.parquet(paths[name]) for name in ("findings", "visited", "errors", "technologies")

@@ -36,9 +36,8 @@ def reachable(
     breadth-first order (``visit`` numbers them); ``None`` keeps all, and then ``visit`` is NULL. ``max_depth`` is the most
     links from a start page; ``None`` follows them until no new address is found.
 
-    One join per level against a link table that is written once; the level is the small side and is broadcast while its
-    measured size allows. Every level is settled, so that the plan does not grow
-    and a lost executor costs at most one level.
+    One join per level against a link table that is written once. Every level is settled, so that the plan does not grow and a
+    lost executor costs at most one level. Where neither side of the join is broadcast, the links are shuffled at each level.
     """
     links = settle(links)
     level = starts.select("site", "url", F.lit(0).alias("depth"), F.lit(1).cast("bigint").alias("visit")).distinct()
@@ -53,7 +52,7 @@ def reachable(
         if depth == 1 and sitemap_urls is not None:
             found = found.unionByName(
                 sitemap_urls.select(
-                    "site", "url", F.lit(0).cast("bigint").alias("parent"), F.col("pos").cast("int").alias("position")
+                    "site", "url", F.lit(0).cast("bigint").alias("parent"), F.col("pos").cast("bigint").alias("position")
                 )
             )
         seen = reduce(DataFrame.unionByName, levels).select("site", "url")

@@ -14,8 +14,10 @@ from sitesieve.operators.documents import (
     sitemap_urls,
 )
 from sitesieve.operators.extract import extract
+from sitesieve.operators.python import register_function
 from sitesieve.plans import audit as au
 from sitesieve.plans import reports as rp
+from sitesieve.plans.crawl import audit_reached
 from sitesieve.plans.numbering import number_rows
 from sitesieve.plans.pipeline import run
 from sitesieve.schema import FINDING_COLUMNS
@@ -221,6 +223,62 @@ class TestAudit:
             for key, value in before.items():
                 spark.conf.set(key, value)
 
+    def test_python_extractor_that_fails(self, responses, tmp_path, spark):
+        def odd(url, html, headers):
+            yield {"value": headers["x"], "metadata": {"n": len(html)}}
+            if "bad" in html:
+                raise ValueError("no")
+            yield {"value": "second", "severity": "low"}
+
+        register_function("odd", odd)
+        register_function("wrong_field", lambda url, html, headers: [{"value": 1, "colour": "red"}], first_page_only=True)
+        try:
+            rows = [{"html": h, "headers": {"X": str(i)}, "visit_order": i, "url": f"https://e.com/{i}"} for i, h in enumerate(("a", "bad", None, "b"))]
+            frame = responses(*rows, {"html": "a", "url": "https://e.com/4", "visit_order": 4}, {"html": "bad", "status": 500, "visit_order": 5})
+            found = au.audit(frame)
+            mine = found.where("source = 'odd'").orderBy("visit_order", "match_ord").collect()
+            assert [(r.page_id, r.value, r.severity) for r in mine] == [(0, "0", "info"), (0, "second", "low"), (2, "2", "info"), (3, "3", "info")]
+            assert mine[0].metadata == {"n": "1"}
+            failed = sorted((r.page_id, r.message) for r in au.extractor_errors(frame).collect())
+            assert failed == [
+                (0, "https://e.com/0:wrong_field: unknown fields ['colour']"), (1, "https://e.com/1:odd: no"), (4, "https://e.com/4:odd: 'x'"),
+            ]
+            others = found.where("source NOT IN ('odd')").count()
+            paths = run(frame, str(tmp_path / "out"))
+            assert spark.read.parquet(paths["errors"]).count() == 3
+        finally:
+            registry.unregister("odd")
+            registry.unregister("wrong_field")
+        assert au.audit(frame).count() == others
+        assert au.extractor_errors(frame).count() == 0
+
+    def test_audit_of_reached_pages(self, spark, responses):
+        page = lambda site, i, *links, **more: {
+            "site": f"{site}.org", "url": f"https://{site}.org/{i}", "visit_order": i, "page_id": i + 100 * (site == "b"),
+            "html": "".join(f'<a href="{t}">' for t in links) + f'<input name="field_{site}{i}">', **more,
+        }
+        frame = responses(
+            page("a", 0, "/1", "/2", "https://b.org/7"), page("a", 1, "/3"), page("a", 2), page("a", 3, "/4"), page("a", 4), page("a", 9),
+            page("b", 0, "/7", status=404), page("b", 7),
+        )
+
+        def fields(**options):
+            rows = audit_reached(frame, **options).where("value LIKE '%field_%'").collect()
+            return sorted((r.site[0], r.value.split("field_")[1]) for r in rows)
+
+        every = [("a", f"a{i}") for i in (0, 1, 2, 3, 4)]
+        assert fields() == every
+        assert fields(max_depth=0) == every[:1]
+        assert fields(max_depth=2) == every[:4]
+        assert fields(max_depth=2, max_pages=2) == every[:2]
+        assert fields(max_depth=1, follow_external=True) == [*every[:3], ("a", "b7")]
+        maps = spark.createDataFrame(
+            [("a.org", "https://a.org/sitemap.xml", 200, "<loc>https://a.org/9</loc>")],
+            "site string, sitemap_url string, status int, content string",
+        )
+        assert fields(sitemaps=maps, max_depth=1, max_pages=2) == [("a", "a0"), ("a", "a9")]
+        assert fields(sitemaps=maps, max_depth=1, check_sitemap=False) == every[:3]
+
     def test_own_extractor(self, responses):
         def shouting(page):
             return each(F.regexp_extract_all(page.html, F.lit("[A-Z]{3,}"), F.lit(0)), type="info", source="shouting",
