@@ -63,16 +63,17 @@ def _in_quotes(html: Column, own: Column) -> Column:
 
     A quote that ends one host can't begin the next.
     """
-    pieces = F.split(html, '"')
     name = F.concat(F.lit("."), own)
 
-    def last_label(piece: Column, i: Column) -> Column:
+    def last_label(piece: Column, i: Column, number: Column) -> Column:
         labels = F.left(piece, F.length(piece) - F.length(own))
-        inside = (i > 0) & (i < F.size(pieces) - 1) & F.endswith(piece, name)
+        inside = (i > 0) & (i < number - 1) & F.endswith(piece, name)
         host = F.rlike(labels, F.lit(f"^{LABELS}$"))
         return F.when(inside & host, F.struct(i.alias("at"), F.substring_index(F.rtrim(labels, F.lit(".")), ".", -1).alias("label")))
 
-    found = F.array_compact(F.transform(pieces, last_label))
+    found = let(
+        F.split(html, '"'), lambda pieces: F.array_compact(F.transform(pieces, lambda p, i: last_label(p, i, F.size(pieces))))
+    )
     kept = F.aggregate(
         found,
         F.struct(F.lit(-2).alias("last"), F.array().cast("array<string>").alias("labels")),
