@@ -26,7 +26,7 @@ def token_part(part: Column) -> Column:
 
 
 def claim(part: Column, name: str, default: str) -> Column:
-    """A claim as text, as Python prints it; ``default`` where the key is absent."""
+    """A claim as text, a single value as Python prints it, a list or object as JSON; ``default`` where the key is absent."""
     value = F.try_variant_get(part, f"$.{name}", "variant")
     text = F.try_variant_get(part, f"$.{name}", "string")
     kind = F.schema_of_variant(value)

@@ -13,10 +13,6 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    # First pages are looked up by a semi join whose small side may reach some hundred MB on a large crawl.
-    "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "512MB",
-    "spark.sql.optimizer.runtime.bloomFilter.maxNumBits": str(1 << 30),
-    "spark.sql.optimizer.runtime.bloomFilter.maxNumItems": "100000000",
 }
 
 

@@ -19,7 +19,7 @@ from sitesieve.plans import audit as au
 from sitesieve.plans import reports as rp
 from sitesieve.plans.crawl import audit_reached
 from sitesieve.plans.numbering import number_rows
-from sitesieve.plans.pipeline import run
+from sitesieve.plans.pipeline import TABLES, run, visited_addresses
 from sitesieve.schema import FINDING_COLUMNS
 from sitesieve.sources import captures as ca
 from sitesieve.sources.storage import settle, write_findings, write_reports
@@ -169,6 +169,11 @@ class TestAudit:
         assert sources(check_robots=False) == ["html_attribute", "sitemap"]
         assert sources(check_sitemap=False) == ["html_attribute", "robots_disallow", "robots_sitemap", "sitemap"]
         assert sources(check_robots=False, check_sitemap=False) == ["html_attribute"]
+        visited = lambda **options: {r.url for r in visited_addresses(frame, robots, docs, **options).collect()}
+        page, listed = "https://e.com/p", {"https://e.com/a.xml", "https://e.com/sitemap.xml"}
+        assert visited() == {page, "https://e.com/robots.txt", *listed}
+        assert visited(check_robots=False) == {page, "https://e.com/sitemap.xml"}
+        assert visited(check_robots=False, check_sitemap=False) == {page}
 
     def test_one_scan_with_text_and_no_shuffle_of_pages(self, spark, responses, tmp_path):
         """Extraction is narrow: the only exchange of the page findings is the one that finds first pages."""
@@ -310,7 +315,12 @@ class TestAudit:
         assert report["a.org"].meta.total_findings == len(direct)
         assert [t.name for t in report["a.org"].tech_stack] == ["jQuery", "Nginx"]
         assert (report["b.org"].meta.errors, report["b.org"].meta.urls_visited) == (1, 1)
-        score = spark.read.parquet(paths["scores"]).first()
+        tables = {name: spark.read.parquet(path) for name, path in paths.items() if name not in ("reports", "findings")}
+        for name, table in TABLES.items():
+            assert sorted(map(str, tables[name].collect())) == sorted(map(str, table(stored).select(*tables[name].columns).collect()))
+        assert {r.site: r.total_findings for r in tables["summary"].collect()}["a.org"] == len(direct)
+        assert tables["pages"].count() == tables["visited"].count()
+        score = tables["scores"].first()
         assert score.score == rp.scores(stored).first().score
 
 
