@@ -115,7 +115,8 @@ SNIPPETS = [
     "<!-- staging\nserver, internal only --><p>__schema</p>",
     # tokens
     f"<p>{_token({'alg': 'HS256', 'typ': 'JWT'}, {'iss': 'issuer', 'sub': 'abc', 'exp': 99})}</p>"
-    f"<p>{_token({'alg': 'none', 'typ': 'x'}, {'sub': 'no-issuer', 'x': 1})}</p>",
+    f"<p>{_token({'alg': 'none', 'typ': 'x'}, {'sub': 'no-issuer', 'x': 1})}</p>"
+    f"<p>{_token({'alg': 'ES256'}, {'iss': ['one', 'two', [3, None, {}]], 'sub': {'role': 'admin: all', 'id': {'on': True}}})}</p>",
     f"<p>{_token({'typ': 'JWT', 'kid': 'k'}, {'iss': 'only-issuer', 'n': 2})} eyJub3RqxXXXXXX.eyJub3RqxXXXXXX.abcdefghijkl</p>"
     f"<p>{_token({'alg': 'HS512', 'k': 1}, {'iss': 'a', 'exp': 'never'})} {_token({'alg': 'RS256', 'k': 1}, {'iss': 'rs', 'sub': 's'})}</p>",
     # forms

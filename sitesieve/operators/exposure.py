@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.encoding import base64_text, claim, claim_kind, token_part
+from ..functions.encoding import base64_text, claim, claim_kind, token_part, token_text
 from ..functions.tables import table
 from ..functions.text import (
     any_literal,
@@ -223,6 +223,8 @@ def tokens(page: Page) -> Column:
             t.alias("token"),
             token_part(F.split_part(t, F.lit("."), F.lit(1))).alias("head"),
             token_part(F.split_part(t, F.lit("."), F.lit(2))).alias("body"),
+            token_text(F.split_part(t, F.lit("."), F.lit(1))).alias("head_text"),
+            token_text(F.split_part(t, F.lit("."), F.lit(2))).alias("body_text"),
         ),
     )
     # An expiry that is no number makes the token unreadable.
@@ -237,9 +239,9 @@ def tokens(page: Page) -> Column:
         lambda t, i: F.struct(
             i.alias("i"),
             t["token"].alias("token"),
-            claim(t["head"], "alg", "unknown").alias("alg"),
-            claim(t["body"], "iss", "").alias("iss"),
-            claim(t["body"], "sub", "").alias("sub"),
+            claim(t["head"], t["head_text"], "alg", "unknown").alias("alg"),
+            claim(t["body"], t["body_text"], "iss", "").alias("iss"),
+            claim(t["body"], t["body_text"], "sub", "").alias("sub"),
             F.coalesce(F.try_variant_get(t["body"], "$.exp", "double") < 0, F.lit(False)).alias("expired"),
         ),
     )

@@ -1,5 +1,7 @@
 """Extractors on single pages: what each must find and what it must leave alone."""
 
+import base64
+import json
 import random
 import re
 
@@ -259,8 +261,6 @@ class TestExposure:
         assert "Open redirect form: url" in expected and "Open redirect JS: goto" in expected
 
     def test_script_secrets(self, find):
-        import base64
-
         secret = base64.b64encode(b"the database password is hidden right here, is it").decode()
         html = (
             "<script>var pad='.................................................';</script>"
@@ -277,8 +277,6 @@ class TestExposure:
 
     @pytest.mark.parametrize("cut, found", [("", True), ("=", False)])
     def test_base64_padding(self, find, cut, found):
-        import base64
-
         text = base64.b64encode(b"this text names a password and has a length of its").decode()
         assert text.endswith("=")
         rows = find("script_secrets", f"<script>var s = '{text.removesuffix(cut)}'; // {'.' * 50}</script>")
@@ -306,9 +304,6 @@ class TestExposure:
         assert values(rows) == ["HTML comment: TODO: x", "HTML comment: remove\n me"]
 
     def test_tokens(self, find):
-        import base64
-        import json
-
         def token(head, body):
             parts = [base64.urlsafe_b64encode(json.dumps(p).encode()).decode().rstrip("=") for p in (head, body)]
             return ".".join([*parts, "signature-signature"])
@@ -333,6 +328,23 @@ class TestExposure:
         ]
         assert [r.metadata["expired"] for r in rows if r.metadata] == ["false", "true", "false"]
 
+    def test_claims_that_are_lists_or_objects(self, find):
+        """Against Python's own printing, nested and with every kind of letter."""
+        claims = [
+            ["a", "b"],
+            {"z": 1, "a": [True, None, {"k": "it's"}], "e": {}, "l": []},
+            ['"', "'", "'\"", "\\", "tab\tnew\nline\r", "\x00\x7f\xa0\u200b\u2028", "\U0001f600 \U000e0001", "ü, [x]: {y}", ""],
+            [[[[1, -2, 0.5, 12345678901234567890]]], "true", True, False],
+        ]
+        tokens = []
+        for value in claims:
+            for body in ({"iss": value}, {"sub": value, "iss": "x"}):
+                parts = [json.dumps({"alg": "RS256"}), json.dumps(body, ensure_ascii=len(tokens) % 2 == 0)]
+                coded = [base64.urlsafe_b64encode(p.encode()).decode().rstrip("=") for p in parts]
+                tokens.append(".".join([*coded, "signature-signature"]))
+        expected = [v for c in claims for v in (f"JWT (alg=RS256, iss={c}, sub=)", f"JWT (alg=RS256, iss=x, sub={c})")]
+        assert values(find("tokens", " ".join(tokens))) == expected
+
     def test_forms(self, find):
         html = "<form><form><FORM><form><input type='file'><input name=\"CSRF_x\">"
         assert values(find("forms", html)) == [
