@@ -9,7 +9,9 @@ to ``FEATURES`` places. It is trained from a small table of labelled URLs, ``lab
 partition, so that reruns give the same weights.
 
 Nulls: a null URL, and one without ``://``, has an empty host and an empty path, fits no rule and is judged by the classifier's
-level alone. Rows with a null ``page_id`` and repeated rows are judged like any other. An empty table gives no rows.
+level alone. Rows with a null ``page_id`` and repeated rows are judged like any other. An empty table gives no rows. Extra columns
+are carried along, but for those of the names ``host``, ``path``, ``rule``, ``blocking`` and ``verdict``, in any case, which are
+replaced.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .keys import ascii_lower
+from .keys import ascii_lower, boxed
 
 #: (verdict, host, path)
 RULES = (
@@ -125,13 +127,13 @@ def judged(
 ) -> DataFrame:
     """``pages`` with ``host``, ``path``, ``rule``, ``blocking`` (the classifier's probability) and ``verdict``."""
     model = model or trained(pages.sparkSession)
-    own = [c for c in pages.columns if c not in ("host", "path", "rule", "blocking", "verdict", "grams", "features")]
+    own = [c for c in pages.columns if c.lower() not in ("host", "path", "rule", "blocking", "verdict")]
     # A row's host and path are made before its n-grams, or Spark would make them again for each.
     both = F.struct(host(F.col("url")).alias("host"), path(F.col("url")).alias("path"))
-    parts = pages.select(*own, F.explode(F.array(both)).alias("_parts")).select(*own, "_parts.host", "_parts.path")
+    parts = boxed(pages, F.explode(F.array(both)).alias("_parts")).select("row", "_parts.host", "_parts.path")
     scored = model.transform(parts.withColumn("grams", grams()))
     return scored.withColumn("blocking", vector_to_array("probability")[1]).select(
-        *own,
+        *(F.col("row")[c].alias(c) for c in own),
         "host",
         "path",
         matched(rules, "rule").alias("rule"),
