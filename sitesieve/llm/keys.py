@@ -34,6 +34,21 @@ def boxed(frame: DataFrame, *columns: Column) -> DataFrame:
     return frame.select(F.struct("*").alias("row"), *columns)
 
 
+def unrolled(counted: DataFrame, copies: int) -> DataFrame:
+    """A row per row again where ``_n`` counts equal ones: ``_nth`` numbers them from 0. No task unrolls more than ``copies`` of a
+    group, so a group of any size spans many tasks.
+    """
+    numbers = lambda first, last: F.explode(F.sequence(first, last)).alias("_nth")
+    zero = F.lit(0).cast("long")
+    few = counted.filter(F.col("_n") <= copies).select("*", numbers(zero, F.col("_n") - 1))
+    # A large group is cut into parts that are dealt out first.
+    parts = F.explode(F.sequence(zero, F.expr(f"(_n - 1) div {copies}"))).alias("_part")
+    many = counted.filter(F.col("_n") > copies).select("*", parts)
+    many = many.repartition(F.xxhash64(*(c for c in counted.columns if c != "_n"), "_part"))
+    last = F.least(F.col("_n"), (F.col("_part") + 1) * copies) - 1
+    return few.union(many.select(*counted.columns, numbers(F.col("_part") * copies, last))).drop("_n")
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z in lower case, every other letter as it is."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -3,16 +3,18 @@
 1. Targets. Sources in code point order (null last) weigh ``WEIGHTS`` in turn and share ``SHARE`` of all words; a target
    stops at ``LIMIT`` times its source's words, and the excess is shared again by weight until none is above.
 2. Blocks. The words of a source, its documents in seeded order, are one stream that is cut into blocks of ``BLOCK`` words.
-   Blocks go to sources by highest quotients target / (2j + 1), so a source's quota is an integer. Each of the output
-   shards gets an integer part of each quota (``quotas``).
-3. Selection. With ``quota = passes * blocks + rest``, every block is taken ``passes`` times and ``rest`` blocks once more.
-   Those are spread evenly from a seeded start, so whether a block is chosen, and how many are chosen before it, is a
-   formula: no list of blocks is made or moved.
+   Blocks go to sources by highest quotients target / (2j + 1), so a source's quota is an integer. A source's stream is cut
+   into ``SHARDS`` stretches, one for each output shard, and each gets an integer part of the quota (``quotas``).
+3. Selection. With ``quota = passes * blocks + rest``, every block is taken ``passes`` times, and of each shard's stretch as many
+   blocks once more as its part of ``rest`` says. Those are spread evenly from a seeded start, so whether a block is chosen,
+   and how many are chosen before it, is a formula: no list of blocks is made or moved.
 
-Offsets of documents in their stream come from sums per seeded bucket, so a source of any size spans many tasks.
+Offsets of documents in their stream come from sums per seeded bucket, so a source of any size spans many tasks. The seeded order
+is that of a hash of id, text and the number among equal rows, so rows without an id and repeated rows fall into all buckets.
 
 Nulls: a null text has no words; a null source is a source of its own, last in order; a null ``doc_id`` sorts like the text
-"null". Repeated rows are documents of their own. Documents without words take none. An empty table gives no rows.
+"null". Repeated rows are documents of their own; they are counted first and numbered from the count. Documents without words take
+none. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -21,30 +23,40 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.text import let
 from ..plans.numbering import number_rows
 from ..sources.storage import settle, stored
-from .keys import SPACES, WORD
+from .keys import SPACES, WORD, unrolled
 
 WEIGHTS = (3, 1, 2)
 #: Share of all words that the mix takes, as a fraction.
 SHARE = (3, 2)
 LIMIT = 2
 BLOCK = 64
+#: Output shards, each with quotas of its own.
+SHARDS = 24
 SEED = 20
 #: Rows whose offsets are summed by one sort.
 BUCKET_ROWS = 50_000
+#: Equal rows that one task numbers.
+COPIES = 10_000
 
 
-def sized(documents: DataFrame, seed: int = SEED) -> DataFrame:
-    """Documents without text: words and the place in the seeded order."""
-    name = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
-    return documents.select(
+def sized(documents: DataFrame) -> DataFrame:
+    """Distinct documents without text: words, a hash of the text, and the number of equal rows."""
+    rows = documents.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col("source").cast("string").alias("source"),
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        F.md5(name.cast("binary")).alias("_order"),
         F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("_text"),
     )
+    return rows.groupBy("doc_id", "source", "size", "_text").agg(F.count("*").alias("_n"))
+
+
+def ordered(counted: DataFrame, seed: int = SEED) -> DataFrame:
+    """A row per document again, with ``_nth`` among equal rows, from 0, and the place in the seeded order."""
+    name = F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "_text", "_nth")
+    return unrolled(counted, COPIES).withColumn("_order", F.md5(name.cast("binary")))
 
 
 def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
@@ -111,34 +123,60 @@ def apportioned(sources: DataFrame, block: int = BLOCK) -> DataFrame:
     )
 
 
-def quotas(sources: DataFrame, shards: int) -> DataFrame:
-    """Blocks of each source in each output shard: integers whose sum is the source's quota, at most one apart."""
-    each = sources.select("source", "rank", "quota", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
-    # A source starts where the one before it ended, so that the odd blocks do not all fall to the first shards.
-    turn = F.pmod(F.col("shard") - F.col("rank"), F.lit(shards))
-    return each.select(
-        "source", "shard", (F.expr(f"quota div {shards}") + (turn < F.col("quota") % shards).cast("long")).alias("blocks")
+def _parts(a: Column, b: Column, c: Column) -> Column:
+    """``a * b div c`` without overflow."""
+    return F.call_function("div", a.cast("decimal(20,0)") * b.cast("decimal(18,0)"), c.cast("decimal(18,0)"))
+
+
+def _stretch(shard: Column, rest: Column, shards: int) -> Column:
+    """A shard's stretch of ``blocks`` blocks: its first block, its length, the part of ``rest`` before it and its own."""
+    edge = lambda s: F.call_function("div", s * F.col("blocks"), F.lit(shards).cast("long"))
+    before = lambda s: _parts(edge(s), rest, F.col("blocks"))
+    return F.struct(
+        edge(shard).alias("first"),
+        (edge(shard + 1) - edge(shard)).alias("length"),
+        before(shard).alias("before"),
+        (before(shard + 1) - before(shard)).alias("extra"),
     )
 
 
-def _chosen(words: Column, block: int) -> Column:
+def quotas(sources: DataFrame, shards: int = SHARDS) -> DataFrame:
+    """``source``, ``shard``, ``blocks`` of the shard's stretch and ``quota`` that the mix takes of them, for sources with
+    ``blocks`` and ``quota``. The quotas of a source's shards are in proportion to their stretches, rounded to integers whose
+    sum is the source's quota.
+    """
+    each = sources.filter("blocks > 0").select("*", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
+    whole = F.call_function("div", F.col("quota"), F.col("blocks"))
+    each = each.withColumn("_of", _stretch(F.col("shard").cast("long"), F.col("quota") % F.col("blocks"), shards))
+    quota = whole * F.col("_of.length") + F.col("_of.extra")
+    return each.select("source", "shard", F.col("_of.length").alias("blocks"), quota.alias("quota"))
+
+
+def _chosen(words: Column, block: int, shards: int) -> Column:
     """Words of chosen blocks among the first ``words`` of a source's stream."""
-    at = F.floor(words / block).cast("decimal(20,0)")
+    at = F.floor(words / block)
+
+    def before(number: Column) -> Column:
+        """Blocks that are chosen once more before the block ``number``: those of earlier shards, and those that its own shard
+        chooses before it, counted from the seeded start.
+        """
+        shard = F.call_function("div", (number + 1) * F.lit(shards).cast("long") - 1, F.col("blocks"))
 
-    def before(blocks: Column) -> Column:
-        """Blocks that a pass over ``_rest`` of ``blocks`` chooses before this one, counted from the seeded start."""
-        steps = (blocks + F.col("_start").cast("decimal(20,0)")) * F.col("_rest").cast("decimal(18,0)")
-        return F.call_function("div", steps, F.col("blocks").cast("decimal(18,0)"))
+        def inside(of: Column) -> Column:
+            start = F.col("_start") % of["length"]
+            steps = lambda x: _parts(x, of["extra"], of["length"])
+            return of["before"] + steps(number - of["first"] + start) - steps(start)
 
-    whole = before(at) - before(F.lit(0).cast("decimal(20,0)"))
-    here = before(at + 1) - before(at)
-    return whole * block + here * (words - F.floor(words / block) * block)
+        return let(shard, lambda s: let(_stretch(s, F.col("_rest"), shards), inside))
 
+    return before(at) * block + (before(at + 1) - before(at)) * (words - at * block)
 
-def mixed(documents: DataFrame, block: int = BLOCK, seed: int = SEED) -> DataFrame:
+
+def mixed(documents: DataFrame, block: int = BLOCK, seed: int = SEED, shards: int = SHARDS) -> DataFrame:
     """``doc_id``, ``size``, ``source``, ``source_size``, ``target``, ``taken``; ``passes`` and ``offset`` in the stream."""
-    rows = stored(sized(documents, seed), "words")
-    sources = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
+    counted = stored(sized(documents), "words")
+    rows = ordered(counted, seed)
+    sources = counted.groupBy("source").agg(F.sum(F.col("size") * F.col("_n")).alias("source_size"), F.sum("_n").alias("n"))
     sources = settle(apportioned(targets(sources), block))
     start = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}/"), F.coalesce("source", F.lit(""))).cast("binary")), 1, 8), 16, 10)
     sources = sources.select(
@@ -163,28 +201,27 @@ def mixed(documents: DataFrame, block: int = BLOCK, seed: int = SEED) -> DataFra
         F.col("_bucket").alias("_in"),
         F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_before"),
     )
-    inside = W.partitionBy("source", "_bucket").orderBy("_order", "size", "_text")
-    inside = inside.rowsBetween(W.unboundedPreceding, -1)
+    inside = W.partitionBy("source", "_bucket").orderBy("_order").rowsBetween(W.unboundedPreceding, -1)
     placed = placed.withColumn("_inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     placed = placed.join(sums, F.col("source").eqNullSafe(F.col("_source")) & (F.col("_bucket") == F.col("_in")))
     placed = placed.withColumn("offset", F.col("_before") + F.col("_inside"))
-    more = _chosen(F.col("offset") + F.col("size"), block) - _chosen(F.col("offset"), block)
+    more = _chosen(F.col("offset") + F.col("size"), block, shards) - _chosen(F.col("offset"), block, shards)
     taken = F.when(F.col("blocks") > 0, F.col("passes") * F.col("size") + more).otherwise(0)
     return placed.withColumn("taken", taken.cast("long")).select(
         "doc_id", "size", "source", "source_size", "target", "taken", "passes", "offset",
-        "blocks", "_rest", "_start", "_text",
+        "blocks", "_rest", "_start", "_text", "_nth",
     )
 
 
-def mixed_documents(documents: DataFrame, block: int = BLOCK, seed: int = SEED) -> DataFrame:
+def mixed_documents(documents: DataFrame, block: int = BLOCK, seed: int = SEED, shards: int = SHARDS) -> DataFrame:
     """The mix itself, with the columns of ``documents``: a row per whole pass over a document, and one for the words of the
     blocks that are taken once more. ``n_chars`` is that of the text in the row.
     """
-    plan = mixed(documents, block, seed).filter("taken > 0")
+    plan = mixed(documents, block, seed, shards).filter("taken > 0")
     plan = plan.select(
         F.col("doc_id").alias("_id"), F.col("source").alias("_source"), "_text", "size", "taken", "passes", "offset",
-        "blocks", "_rest", "_start",
-    ).withColumn("_copy", F.row_number().over(W.partitionBy("_id", "_source", "_text").orderBy("offset")))
+        "blocks", "_rest", "_start", F.col("_nth").alias("_copy"),
+    )
     # Equal rows are told apart by number, so that each meets its own line of the plan.
     # Columns go by number, so that no name of theirs can clash.
     numbered = documents.select(
@@ -195,7 +232,7 @@ def mixed_documents(documents: DataFrame, block: int = BLOCK, seed: int = SEED)
         F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("_digest"),
     )
     same = W.partitionBy("doc_id", "source", "_digest").orderBy(F.lit(0))
-    numbered = numbered.withColumn("_nth", F.row_number().over(same))
+    numbered = numbered.withColumn("_nth", (F.row_number().over(same) - 1).cast("long"))
     met = numbered.join(
         plan,
         F.col("doc_id").eqNullSafe(F.col("_id"))
@@ -208,7 +245,7 @@ def mixed_documents(documents: DataFrame, block: int = BLOCK, seed: int = SEED)
     first = F.floor(F.col("offset") / block)
     last = F.floor((F.col("offset") + F.col("size") - 1) / block)
     partial = F.col("taken") % F.col("size") > 0
-    choice = F.transform(F.sequence(first, last), lambda b: _chosen((b + 1) * block, block) - _chosen(b * block, block))
+    choice = F.transform(F.sequence(first, last), lambda b: _chosen((b + 1) * block, block, shards) - _chosen(b * block, block, shards))
     whole = F.struct(
         F.when(partial, F.split("text", f"(?<=[{SPACES}])(?=[^{SPACES}])")).alias("pieces"),
         # Spaces before the first word are a piece of their own, and stay with that word.
@@ -230,10 +267,13 @@ def mixed_documents(documents: DataFrame, block: int = BLOCK, seed: int = SEED)
 
 #: The same mix in SQL: the level of the targets from running sums, and all quotients ranked.
 ORACLE = r"""
-WITH d AS (
+WITH b AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-    md5('20:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS place, md5(coalesce(text, '')) AS digest
+    md5(coalesce(text, '')) AS digest
   FROM documents
+), d AS (
+  SELECT doc_id, source, size, md5('20:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || digest || ':'
+    || (row_number() OVER (PARTITION BY doc_id, source, digest) - 1)) AS place FROM b
 ), s AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS rank
   FROM d GROUP BY source
@@ -264,16 +304,22 @@ WITH d AS (
 ), p AS (
   SELECT doc_id, size, source_size, target, blocks, CAST(start AS HUGEINT) AS start, quota // blocks AS passes, quota % blocks AS rest,
     coalesce(sum(size) OVER (
-      PARTITION BY d.source ORDER BY place, size, digest ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS low
+      PARTITION BY d.source ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS low
   FROM d JOIN u ON d.source IS NOT DISTINCT FROM u.source
 ), c AS (
   SELECT *, unnest([low, low + size]) AS words, unnest([-1, 1]) AS sign, unnest([1, 0]) AS once FROM p
 ), n AS (
-  SELECT *, words // 64 AS whole FROM c
+  SELECT *, words // 64 AS whole, unnest([words // 64, words // 64 + 1]) AS block,
+    unnest([64 - (words - words // 64 * 64), words - words // 64 * 64]) AS part FROM c
+), e AS (
+  SELECT *, ((block + 1) * 24 - 1) // blocks AS shard FROM n
+), g AS (
+  SELECT *, CAST(shard * blocks // 24 AS HUGEINT) AS first, CAST((shard + 1) * blocks // 24 AS HUGEINT) AS next FROM e
+), h AS (
+  SELECT *, first * rest // blocks AS before, next * rest // blocks - first * rest // blocks AS extra, next - first AS length,
+    start % (next - first) AS turn FROM g
 )
-SELECT doc_id, size, source_size, target, CAST(sum(CASE WHEN blocks > 0 THEN once * passes * size + sign * (
-    ((whole + start) * rest // blocks - start * rest // blocks) * 64
-    + ((whole + 1 + start) * rest // blocks - (whole + start) * rest // blocks) * (words - whole * 64)
-  ) ELSE 0 END) AS BIGINT) AS taken
-FROM n GROUP BY doc_id, size, source_size, target, low
+SELECT doc_id, size, source_size, target, CAST(sum(CASE WHEN blocks > 0 THEN once * (block - whole = 0)::INT * passes * size
+    + sign * part * (before + (block - first + turn) * extra // length - turn * extra // length) ELSE 0 END) AS BIGINT) AS taken
+FROM h GROUP BY doc_id, size, source_size, target, low
 """

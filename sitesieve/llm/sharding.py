@@ -10,7 +10,8 @@ and the differencing evens out what the hash leaves uneven. Equal texts always s
 shard's fair part stays whole, since groups are indivisible.
 
 Nulls: a null text counts as an empty one (8 bytes, checksum 0); rows with a null ``doc_id`` are placed like others. Repeated
-rows are rows of their own with slots of their own. An empty table gives no rows. Extra columns are ignored.
+rows are rows of their own with slots of their own; equal ones are counted first and numbered from the count, so many of them
+span many tasks. An empty table gives no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,13 +25,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..sources.storage import settle, stored
-from .keys import text_key
+from .keys import text_key, unrolled
 
 SHARDS = 24
 #: Bundles per shard. The spread that is left is far below the size of one bundle.
 BUNDLES = 256
 #: Rows that are numbered by one sort.
 UNIT_ROWS = 100_000
+#: Equal rows that one task numbers.
+COPIES = 10_000
 #: Bytes that a document takes besides its text.
 OVERHEAD = 8
 
@@ -86,11 +89,14 @@ def shards_by_bytes(documents: DataFrame, shards: int = SHARDS, bundles: int = B
             (F.octet_length(body) + OVERHEAD).cast("long").alias("size"),
             F.crc32(body.cast("binary")).alias("text_crc32"),
             *text_key(),
-        ),
+        )
+        .groupBy("doc_id", "size", "text_crc32", "k1", "k2")
+        .agg(F.count("*").alias("_n")),
         "sizes",
     )
-    groups = rows.groupBy("k1", "k2").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"))
-    total = rows.agg(F.sum("size")).first()[0] or 0
+    bytes_ = F.sum(F.col("size") * F.col("_n"))
+    groups = rows.groupBy("k1", "k2").agg(bytes_.alias("bytes"), F.sum("_n").alias("n"))
+    total = rows.agg(bytes_).first()[0] or 0
     number = shards * bundles
     heavy = F.col("bytes") * number >= total
     # At most 2 * number rows: a group is heavy only with 1/number of all bytes, and the others have number bundles.
@@ -109,19 +115,20 @@ def shards_by_bytes(documents: DataFrame, shards: int = SHARDS, bundles: int = B
     light = F.broadcast(items.filter("bundle >= 0").select("bundle", F.struct("item", "shard", "n").alias("_light")))
     large = F.broadcast(items.filter("bundle < 0").select("k1", "k2", F.struct("item", "shard", "n").alias("_large")))
     placed = (
-        rows.withColumn("bundle", F.pmod("k1", F.lit(number)))
+        unrolled(rows, COPIES)
+        .withColumn("bundle", F.pmod("k1", F.lit(number)))
         .join(large, ["k1", "k2"], "left")
         .join(light, "bundle", "left")
         .withColumn("_at", F.coalesce("_large", "_light"))
-        .select("doc_id", "size", "text_crc32", "k1", "k2", "_at.item", "_at.shard", F.col("_at.n").alias("_rows"))
+        .select("doc_id", "size", "text_crc32", "k1", "k2", "_nth", "_at.item", "_at.shard", F.col("_at.n").alias("_rows"))
         # A large item is numbered in several units, or one sort would take all its rows.
-        .withColumn("unit", F.pmod(F.xxhash64("doc_id", "size"), F.ceil(F.col("_rows") / UNIT_ROWS)))
+        .withColumn("unit", F.pmod(F.xxhash64("doc_id", "k1", "_nth"), F.ceil(F.col("_rows") / UNIT_ROWS)))
         .drop("_rows")
     )
     before = W.partitionBy("shard").orderBy("item", "unit").rowsBetween(W.unboundedPreceding, -1)
     units = placed.groupBy("shard", "item", "unit").agg(F.count("*").alias("_n"))
     units = units.select("item", "unit", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    inside = W.partitionBy("item", "unit").orderBy("doc_id", "k1", "k2")
+    inside = W.partitionBy("item", "unit").orderBy("doc_id", "k1", "k2", "_nth")
     return (
         placed.withColumn("_place", F.row_number().over(inside))
         .join(units, ["item", "unit"])

@@ -12,7 +12,7 @@ from sitesieve.llm import mixing as mx
 BLOCK = 4
 
 
-def plain(rows, block=BLOCK, seed=mx.SEED):
+def plain(rows, block=BLOCK, seed=mx.SEED, shards=mx.SHARDS):
     words = [len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for _, t, _ in rows]
     sources = sorted({s for *_, s in rows}, key=lambda s: (s is None, s or ""))
     size = {s: sum(w for w, r in zip(words, rows) if r[2] == s) for s in sources}
@@ -35,20 +35,26 @@ def plain(rows, block=BLOCK, seed=mx.SEED):
     md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
     taken = defaultdict(int)
     for s in sources:
-        mine = sorted(
-            (i for i, r in enumerate(rows) if r[2] == s),
-            key=lambda i: (md5(f"{seed}:{'null' if rows[i][0] is None else rows[i][0]}"), words[i], md5(rows[i][1] or "")),
-        )
+        place, equal = {}, Counter()
+        for i, r in enumerate(rows):
+            if r[2] == s:
+                place[i] = md5(f"{seed}:{'null' if r[0] is None else r[0]}:{md5(r[1] or '')}:{equal[r]}")
+                equal[r] += 1
+        mine = sorted(place, key=place.get)
         stream = [i for i in mine for _ in range(words[i])]
         blocks = [stream[k : k + block] for k in range(0, len(stream), block)]
         if not blocks:
             continue
         passes, rest = divmod(min(quota[s], 2 * len(blocks)), len(blocks))
         start = int(md5(f"{seed}/{s or ''}")[:8], 16) % len(blocks)
-        for b, members in enumerate(blocks):
-            more = (b + 1 + start) * rest // len(blocks) - (b + start) * rest // len(blocks)
-            for i in members:
-                taken[i] += passes + more
+        for k in range(shards):
+            edge, end = k * len(blocks) // shards, (k + 1) * len(blocks) // shards
+            extra, length = end * rest // len(blocks) - edge * rest // len(blocks), end - edge
+            for b in range(length):
+                turn = start % length
+                more = (b + 1 + turn) * extra // length - (b + turn) * extra // length
+                for i in blocks[edge + b]:
+                    taken[i] += passes + more
     return sorted(
         (str(r[0]), words[i], size[r[2]], round(float(target[r[2]]), 6), taken[i]) for i, r in enumerate(rows)
     )
@@ -59,14 +65,17 @@ ROWS = [
     *((100 + i, "x\x0by z\u00a0w", "hot") for i in range(90)),
     (200, None, "a"), (201, "", None), (202, "some words here", None), (203, " ", "only spaces"),
     (204, "twice twice", "b"), (204, "twice twice", "b"), (204, "other", "b"), (None, "no id at all", "c"),
+    *[(None, "again and again", "d")] * 8,
 ]
 
 
-def test_equals_plain(documents, monkeypatch):
+@pytest.mark.parametrize("shards", [1, 5, mx.SHARDS])
+def test_equals_plain(documents, monkeypatch, shards):
     monkeypatch.setattr(mx, "BUCKET_ROWS", 20)
-    found = mx.mixed(documents([(i, t, s) for i, t, s in ROWS], extra=True), block=BLOCK).collect()
+    monkeypatch.setattr(mx, "COPIES", 3)
+    found = mx.mixed(documents([(i, t, s) for i, t, s in ROWS], extra=True), block=BLOCK, shards=shards).collect()
     got = [(str(r["doc_id"]), r["size"], r["source_size"], round(r["target"], 6), r["taken"]) for r in found]
-    assert sorted(got) == plain(ROWS)
+    assert sorted(got) == plain(ROWS, shards=shards)
     assert all(r["taken"] <= 2 * r["size"] for r in found)
 
 
@@ -89,11 +98,39 @@ def test_documents_hold_the_words_taken(documents):
 
 
 def test_quotas_per_shard(spark):
-    rows = [(s, i + 1, q) for i, (s, q) in enumerate((("a", 10), ("b", 7), ("c", 0), (None, 3)))]
-    found = mx.quotas(spark.createDataFrame(rows, "source string, rank long, quota long"), 4).collect()
-    for source, _, quota in rows:
-        each = [r["blocks"] for r in found if r["source"] == source]
-        assert len(each) == 4 and sum(each) == quota and max(each) - min(each) <= 1
+    rows = [("a", 10, 10), ("b", 5, 7), ("c", 9, 0), (None, 2, 3), ("d", 1000, 1999), ("e", 7, 14), ("none", 0, 0)]
+    found = mx.quotas(spark.createDataFrame(rows, "source string, blocks long, quota long"), 4).collect()
+    for source, blocks, quota in rows[:-1]:
+        each = [r for r in found if r["source"] == source]
+        assert sorted(r["shard"] for r in each) == [0, 1, 2, 3]
+        assert sum(r["quota"] for r in each) == quota and sum(r["blocks"] for r in each) == blocks
+        assert all(abs(r["quota"] - quota * r["blocks"] / blocks) < 1 and r["quota"] <= 2 * r["blocks"] for r in each)
+    assert not [r for r in found if r["source"] == "none"]
+
+
+def test_the_selection_fills_the_quotas(spark, documents):
+    """One word a document and a block a word: what is taken of a shard's stretch is the shard's quota."""
+    frame = documents([(i, "w", "ab"[i % 3 == 0]) for i in range(200)])
+    rows = mx.mixed(frame, block=1, shards=7).collect()
+    for source in "ab":
+        mine = sorted((r["offset"], r["taken"]) for r in rows if r["source"] == source)
+        quota, n = sum(t for _, t in mine), len(mine)
+        parts = mx.quotas(spark.createDataFrame([(source, n, quota)], "source string, blocks long, quota long"), 7).collect()
+        for r in parts:
+            first, last = r["shard"] * n // 7, (r["shard"] + 1) * n // 7
+            assert sum(t for _, t in mine[first:last]) == r["quota"]
+
+
+def test_hot_rows_without_id_span_buckets(documents, monkeypatch):
+    """Nine in ten rows have no id and one text: all buckets get rows, and the words taken are the quota's."""
+    monkeypatch.setattr(mx, "COPIES", 50)
+    rows = [(None, "one hot text", "s")] * 900 + [(i, f"text {i}", "s") for i in range(100)]
+    counted = mx.sized(documents(rows))
+    placed = mx.ordered(counted).collect()
+    assert counted.count() == 101 and len(placed) == 1000 and len({r["_order"] for r in placed}) == 1000
+    assert len({r["_order"][0] for r in placed if r["doc_id"] is None}) == 16
+    got = mx.mixed(documents(rows), block=BLOCK).collect()
+    assert sorted((str(r["doc_id"]), r["taken"]) for r in got) == [(i, t) for i, *_, t in plain(rows)]
 
 
 def test_empty_table(documents):

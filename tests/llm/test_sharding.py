@@ -55,5 +55,18 @@ def test_shards(documents, monkeypatch):
     assert set(sums) == set(range(5)) and max(sums.values()) - min(sums.values()) <= 0.02 * max(sums.values())
 
 
+def test_rows_without_id_are_numbered_in_many_units(documents, monkeypatch):
+    """Nine in ten rows have no id and one text; their slots have no gap, and reruns give the same rows."""
+    monkeypatch.setattr(sh, "UNIT_ROWS", 20)
+    monkeypatch.setattr(sh, "COPIES", 50)
+    frame = documents([(None, "one hot text")] * 900 + [(i, f"text {i}") for i in range(100)])
+    runs = [sorted(map(str, sh.shards_by_bytes(frame, shards=3, bundles=8).collect())) for _ in range(2)]
+    assert runs[0] == runs[1] and len(runs[0]) == 1000
+    slots = defaultdict(list)
+    for r in sh.shards_by_bytes(frame, shards=3, bundles=8).collect():
+        slots[r["shard"]].append(r["slot"])
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
 def test_empty_table(documents):
     assert sh.shards_by_bytes(documents([])).count() == 0
