@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitesieve.functions.encoding import base64_text
-from sitesieve.functions.text import cut, first_group, strip
+from sitesieve.functions.text import cut, find_all, strip
 from sitesieve.functions.urls import query_pairs, url_join, url_parts
 from sitesieve.operators.documents import (
     fetched_sitemaps,
@@ -624,17 +624,26 @@ add(
 add(
     "text_helpers",
     lambda spark, sf: ov.load(spark, sf, "pages")
-    .select("page_id", strip(first_group(F.col("html"), "<title>([^<]*)</title>")).alias("title"))
-    .select("page_id", F.lower("title").alias("lowered"), cut(F.col("title"), 20).alias("short")),
-    f"SELECT page_id, lower(t) AS lowered, left(t, 20) AS short FROM (SELECT page_id, "
-    f"{o.strip(chr(39).join(['regexp_extract(html, ', '<title>([^<]*)</title>', ', 1)']))} AS t FROM pages) AS a",
+    .select("page_id", F.posexplode(find_all(F.col("html"), ">([^<]+)<", 1)).alias("position", "text"))
+    .select("page_id", "position", strip(F.col("text")).alias("text"))
+    .where("text != ''")
+    .select("page_id", "position", F.lower("text").alias("lowered"), cut(F.col("text"), 20).alias("short")),
+    f"SELECT page_id, CAST(i AS INTEGER) AS position, lower(t) AS lowered, left(t, 20) AS short FROM (SELECT page_id, i, "
+    f"{o.strip('x')} AS t FROM (SELECT page_id, unnest(l) AS x, unnest(range(len(l))) AS i FROM (SELECT page_id, "
+    "regexp_extract_all(html, '>([^<]+)<', 1) AS l FROM pages) AS a) AS b) AS c WHERE t <> ''",
 )
+_CODED = "['\"]([A-Za-z0-9+/]{16,}={0,2})['\"]"
 add(
     "base64_text",
-    lambda spark, sf: ov.load(spark, sf, "pages")
-    .select("page_id", first_group(F.col("html"), "<title>([^<]*)</title>").alias("title"))
-    .select("page_id", base64_text(F.regexp_replace(F.base64(F.encode("title", "UTF-8")), "[\r\n]", "")).alias("decoded")),
-    "SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS decoded FROM pages",
+    lambda spark, sf: ov.responses(spark, sf)
+    .select("page_id", F.posexplode(find_all(F.col("html"), _CODED, 1)).alias("position", "coded"))
+    .select("page_id", "position", "coded", base64_text(F.col("coded")).alias("decoded")),
+    f"WITH {o.prelude()} SELECT page_id, CAST(i AS INTEGER) AS position, coded, coalesce(try(decode(from_base64(whole))), "
+    # Not UTF-8: the two such texts of the overlay keep their ASCII bytes.
+    "array_to_string([chr(CAST('0x' || h AS INTEGER)) FOR h IN regexp_extract_all(hex(from_base64(whole)), '..') IF h < '80'], "
+    "'')) AS decoded FROM (SELECT *, CASE WHEN length(coded) % 4 = 0 THEN coded END AS whole FROM (SELECT page_id, unnest(l) AS "
+    "coded, unnest(range(len(l))) AS i FROM (SELECT page_id, "
+    f"regexp_extract_all(html, {o.q(_CODED)}, 1) AS l FROM r) AS a) AS b) AS c",
 )
 add(
     "quoted_segments",
