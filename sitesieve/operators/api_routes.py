@@ -6,7 +6,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions.text import (
-    any_literal,
     contains_any,
     find_all,
     find_groups,
@@ -29,19 +28,10 @@ REST_PATH = (
 API_LINK = r"""(?:href|src|content)=["'](https?://[^"']*(?:api|rest|graphql|endpoint)[^"']*)["']"""
 GRAPHQL = r"""['"`]([^'"`]*graphql[^'"`]*)['"`]"""
 WEBSOCKET = r"""(?:wss?://[^\s'"]+)"""
-CONFIG_KEYS = (
-    "baseUrl",
-    "baseURL",
-    "apiUrl",
-    "apiBase",
-    "endpoint",
-    "apiEndpoint",
-    "API_URL",
-    "API_BASE",
-    "api_url",
-    "api_base",
+CONFIG = (
+    r"""(?:baseUrl|baseURL|apiUrl|apiBase|endpoint|apiEndpoint|API_URL|API_BASE|api_url|api_base)[\s]*[=:]\s*"""
+    r"""['"`]([^'"`]+)['"`]"""
 )
-CONFIG = rf"""(?:{any_literal(CONFIG_KEYS)})[\s]*[=:]\s*['"`]([^'"`]+)['"`]"""
 CALL = (
     r"""(?:fetch\s*\(|\.get\s*\(|\.post\s*\(|\.put\s*\(|\.delete\s*\(|\.patch\s*\()"""
     r"""(?s:.){0,30}?['"`]([^'"`]+)['"`]"""

@@ -46,7 +46,7 @@ def is_call_target(target: Column) -> Column:
 
 def endpoints(page: Page) -> Column:
     links = each(
-        find_groups(page.html, starting("hsad][rca", ATTRIBUTE), ignore_case=True),
+        find_groups(page.html, starting("hsad", ATTRIBUTE), ignore_case=True),
         when=contains_any(page.fold, "href=", "src=", "action=", "data-"),
         keep=lambda m: ~starts_with_any(strip(m["g1"]), *NOT_A_LINK),
         type="endpoint",

@@ -19,13 +19,13 @@ IGNORED_PARAMETERS = (
     "dclid", "gbraid", "wbraid",
     # navigation, paging, sorting
     "ref", "source", "from", "back", "return", "redirect", "next", "prev", "page", "per_page", "offset", "limit",
-    "skip", "count", "sort", "order", "dir", "desc", "v", "t", "s", "id", "lang", "locale", "format", "type",
+    "skip", "count", "sort", "order", "dir", " asc", "desc", "v", "t", "s", "id", "lang", "locale", "format", "type",
     "action", "callback", "jsonp", "nocache", "_", "timestamp", "rand", "random",
     # protocol and debugging
     "version", "ver", "v_", "debug", "test", "mode", "output", "response_type", "grant_type", "client_id",
     "client_secret",
     # framework tokens
-    "_token", "_method", "_csrf", "csrf_token", "csrfmiddlewaretoken", "authenticity_token",
+    "_token", "_method", "_csrf", "csrf_token", "csrfmiddlewaretoken", "__RequestVerificationToken", "authenticity_token",
     # searching
     "q", "query", "search", "keyword", "keywords",
     # markup attributes
@@ -39,7 +39,6 @@ IGNORED_PARAMETERS = (
     "amp;source", "amp;ct", "amp;st", "amp;is_emu_login", "amp;mobile_ios", "amp;locale", "amp;v",
     # one code host
     "cft", "tags", "with", "disable_signup",
-    " asc",
 )
 IGNORED_NAMES = (
     "width", "height", "max", "min", "size", "scale", "zoom", "top", "left", "right", "bottom", "x", "y", "z",

@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-from functools import reduce
 from itertools import count
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators.links import page_addresses
 from ..sources.captures import analyzable
-from ..sources.storage import settle
+from ..sources.storage import Buckets
 
 
 def link_table(responses: DataFrame, follow_external: bool = False) -> DataFrame:
@@ -36,48 +35,50 @@ def reachable(
     breadth-first order (``visit`` numbers them); ``None`` keeps all, and then ``visit`` is NULL. ``max_depth`` is the most
     links from a start page; ``None`` follows them until no new address is found.
 
-    One join per level against a link table that is written once. Every level is settled, so that the plan does not grow and a
-    lost executor costs at most one level. Where neither side of the join is broadcast, the links are shuffled at each level.
+    The links lie in buckets of their address and what was seen in buckets of site and address, so neither is shuffled at any
+    level: a level meets the links by one exchange of its own rows, and what they lead to meets what was seen by one
+    exchange of the distinct addresses. Every level is written, so that the plan does not grow and a lost executor costs at
+    most one level.
     """
-    links = settle(links)
-    level = starts.select("site", "url", F.lit(0).alias("depth"), F.lit(1).cast("bigint").alias("visit")).distinct()
-    if max_pages is None:
-        level = level.withColumn("visit", F.lit(None).cast("bigint"))
-    level = settle(level)
-    levels = [level]
+    spark = links.sparkSession
+    by_address = Buckets(spark, "links", "url")
+    by_address.add(links)
+    links = by_address.read()
+    seen = Buckets(spark, "seen", "site", "url")
+    numbered = max_pages is not None
+    seen.add(starts.select("site", "url").distinct().select(*_placed(0, F.lit(1) if numbered else None)))
     for depth in count(1) if max_depth is None else range(1, max_depth + 1):
-        found = level.join(links, "url").select(
-            "site", F.col("link").alias("url"), F.col("visit").alias("parent"), "position"
+        found = seen.read(depth - 1).join(links, "url").select(
+            "site", F.col("link").alias("url"), F.col("visit").alias("parent"), F.col("position").cast("bigint").alias("position")
         )
         if depth == 1 and sitemap_urls is not None:
-            found = found.unionByName(
-                sitemap_urls.select(
-                    "site", "url", F.lit(0).cast("bigint").alias("parent"), F.col("pos").cast("bigint").alias("position")
-                )
-            )
-        seen = reduce(DataFrame.unionByName, levels).select("site", "url")
-        fresh = (
-            found.groupBy("site", "url")
-            .agg(F.min(F.struct("parent", "position")).alias("first"))
-            .join(seen, ["site", "url"], "left_anti")
-        )
-        if max_pages is None:
-            level = fresh.select("site", "url", F.lit(depth).alias("depth"), F.lit(None).cast("bigint").alias("visit"))
+            listed = sitemap_urls.select("site", "url", F.lit(0).cast("bigint").alias("parent"), F.col("pos").cast("bigint").alias("position"))
+            found = found.unionByName(listed)
+        so_far = seen.read()
+        if not numbered:
+            fresh = found.select("site", "url").distinct().join(so_far.select("site", "url"), ["site", "url"], "left_anti")
+            level = fresh.select(*_placed(depth, None))
         else:
+            # Parent and position as one number, which a hash aggregate can keep.
+            place = F.col("parent").cast("decimal(18,0)") * F.lit(str(10**19)).cast("decimal(20,0)") + F.col("position")
+            first = found.groupBy("site", "url").agg(F.min(place).alias("first"))
+            fresh = first.join(so_far.select("site", "url"), ["site", "url"], "left_anti")
             # No more than max_pages per site pass the window; tasks drop the others before the shuffle.
-            place = F.row_number().over(W.partitionBy("site").orderBy("first", "url"))
-            ranked = fresh.withColumn("place", place).where(F.col("place") <= max_pages)
-            so_far = reduce(DataFrame.unionByName, levels).groupBy("site").agg(F.max("visit").alias("so_far"))
-            level = (
-                ranked.join(so_far, "site")
-                .select("site", "url", F.lit(depth).alias("depth"), (F.col("so_far") + F.col("place")).alias("visit"))
-                .where(F.col("visit") <= max_pages)
-            )
-        level = settle(level)
-        if level.isEmpty():
+            order = F.row_number().over(W.partitionBy("site").orderBy("first", "url"))
+            ranked = fresh.withColumn("place", order).where(F.col("place") <= max_pages)
+            last = so_far.groupBy("site").agg(F.max("visit").alias("last"))
+            level = ranked.join(last, "site").select(*_placed(depth, F.col("last") + F.col("place")))
+            level = level.where(F.col("visit") <= max_pages)
+        seen.add(level, depth)
+        if seen.read(depth).isEmpty():
             break
-        levels.append(level)
-    return reduce(DataFrame.unionByName, levels)
+    by_address.done()
+    return seen.done()
+
+
+def _placed(depth: int, visit: Column | None) -> list[Column]:
+    visit = F.lit(None) if visit is None else visit
+    return [F.col("site"), F.col("url"), F.lit(depth).alias("depth"), visit.cast("bigint").alias("visit")]
 
 
 def start_pages(responses: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(session: SparkSession) -> str:
@@ -41,6 +42,37 @@ def stored(frame: DataFrame, name: str = "table") -> DataFrame:
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
+class Buckets:
+    """A table in buckets of some columns below the checkpoint folder, to which rows are added step by step.
+
+    Joins and aggregates on these columns read it as it lies: only their other side is shuffled, to as many partitions. The
+    number of buckets is the session's number of shuffle partitions, unless given. ``step`` counts the additions, each in
+    a folder of its own, so that one step is read without the others.
+    """
+
+    def __init__(self, session: SparkSession, name: str, *keys: str, number: int | None = None):
+        self.session, self.keys = session, keys
+        self.number = number or int(session.conf.get("spark.sql.shuffle.partitions"))
+        self.table = f"{name}_{uuid.uuid4().hex}"
+        self.path = f"{shared_folder(session)}/{self.table}"
+
+    def add(self, frame: DataFrame, step: int = 0) -> None:
+        """Rows that are dealt by the keys already are written without a shuffle, one file per bucket."""
+        dealt = frame.repartition(self.number, *self.keys).withColumn("step", F.lit(step))
+        writer = dealt.write.mode("append").partitionBy("step").bucketBy(self.number, *self.keys)
+        writer.option("path", self.path).saveAsTable(self.table)
+
+    def read(self, step: int | None = None) -> DataFrame:
+        rows = self.session.table(self.table)
+        return (rows if step is None else rows.where(F.col("step") == step)).drop("step")
+
+    def done(self) -> DataFrame:
+        """All rows, read by their path; the catalog forgets the table."""
+        schema = self.session.table(self.table).schema
+        self.session.sql(f"DROP TABLE IF EXISTS {self.table}")
+        return self.session.read.schema(schema).parquet(self.path).drop("step")
+
+
 def write_findings(findings: DataFrame, path: str) -> None:
     """Findings as a table, one folder per type, so that reports on one type read only theirs.
 

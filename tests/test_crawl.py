@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from sitesieve.operators.links import page_links, tag_links, unescape
 from sitesieve.plans import reachability as re_
+from sitesieve.sources import storage
 
 
 class Links(HTMLParser):
@@ -151,6 +152,51 @@ def test_reachable_equals_a_queue(spark, responses, seed, same_site, max_pages):
             assert order == [u for s, u, _ in expected if s == site]
 
 
+@pytest.mark.parametrize("max_pages", [None, 6])
+def test_levels_move_only_their_own_rows(spark, responses, monkeypatch, max_pages):
+    """Without broadcasts neither the links nor what was seen is behind an exchange that sorts or meets addresses."""
+    plans = []
+    add = storage.Buckets.add
+
+    def planned(self, frame, step=0):
+        dealt = frame.repartition(self.number, *self.keys)
+        plans.append((step, dealt._jdf.queryExecution().executedPlan().toString()))
+        add(self, frame, step)
+
+    monkeypatch.setattr(storage.Buckets, "add", planned)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = [{"url": f"https://s.org/{i}", "html": f'<a href="/{i + 1}">', "page_id": i} for i in range(5)]
+        frame = responses(*rows)
+        found = re_.reachable(re_.start_pages(frame), re_.link_table(frame), max_depth=2, max_pages=max_pages)
+        assert sorted((r.url, r.depth) for r in found.collect()) == [(f"https://s.org/{i}", i) for i in range(3)]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    levels = [plan.splitlines() for step, plan in plans if step > 0]
+    assert len(levels) == 2
+    for lines in levels:
+        depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+        for i, line in enumerate(lines):
+            if "FileScan" not in line or "links_" not in line:
+                continue
+            above, at = [], depth(line)
+            for other in reversed(lines[:i]):
+                if depth(other) < at:
+                    at = depth(other)
+                    above.append(other)
+            met = next(j for j, other in enumerate(above) if "SortMergeJoin" in other)
+            assert not any("Exchange" in other for other in above[:met])
+        assert sum("Exchange hashpartitioning(url" in line for line in lines) == 1
+        assert sum("Exchange hashpartitioning(site" in line and ", url" in line for line in lines) == (1 if max_pages is None else 2)
+
+
+def test_nothing_stays_in_the_catalog(spark, responses):
+    frame = responses({"url": "https://s.org/", "html": '<a href="/a">'})
+    found = re_.reachable(re_.start_pages(frame), re_.link_table(frame))
+    assert spark.sql("SHOW TABLES").count() == 0
+    assert sorted(r.depth for r in found.collect()) == [0, 1]
+
+
 def test_character_references_equal_the_standard_library(spark):
     rng = random.Random(4)
     parts = ["&#38;lt;", "&#38;#60;", "&#60;", "&lt;", "&lt", "&amp", "&eacute;", "&eacute", "&notit;", "&notin;", "&nosuch;", "&", "&;"]
