@@ -1,11 +1,11 @@
 """Boilerplate lines by the number of distinct sites that have them.
 
-A line is what stands between newlines, without spaces at its ends; empty lines are no lines. Per hash of a line a HyperLogLog
+A line is what stands between newlines, without spaces at its ends; empty lines are no lines. Per name of a line a HyperLogLog
 sketch of its sites is made in every task, and the sketches of a line merge by aggregation. Lines whose estimate lies within
 ``MARGIN`` standard errors of ``SITES`` get an exact distinct count. Lines of at least ``SITES`` sites are boilerplate, and
 every document loses them.
 
-Counting sees only hashes and sites. The one shuffle of texts is that in which documents meet the list of the lines they lose.
+Counting sees only names and sites. The one shuffle of texts is that in which documents meet the list of the lines they lose.
 
 Nulls: a null text has no lines and stays null; a null source is no site. Repeated rows count as what they are: more lines of the
 same site. Sites that differ only in case are different. An empty table gives no rows. Extra columns are carried along,
@@ -30,15 +30,16 @@ def lines(text: str = "text") -> Column:
     return F.split(F.col(text), "\n")
 
 
-def line_hash(line: Column) -> Column:
-    return F.xxhash64(F.btrim(line, F.lit(" \t\r\x0b\x0c")))
+def line_name(line: Column) -> Column:
+    """128 bits: with 64, some of 10^12 lines would share a name, and a wrong line would go."""
+    return F.md5(F.btrim(line, F.lit(" \t\r\x0b\x0c")))
 
 
 def _marked(documents: DataFrame) -> DataFrame:
-    """``line`` (hash), ``site``, ``k1``, ``k2``: one row per distinct line of a document."""
-    hashes = F.transform(F.filter(lines(), lambda x: F.btrim(x, F.lit(" \t\r\x0b\x0c")) != ""), line_hash)
-    rows = documents.select(F.col("source").cast("string").alias("site"), *text_key(), F.array_distinct(hashes).alias("all"))
-    return rows.select("site", "k1", "k2", F.explode("all").alias("line"))
+    """``line`` (name), ``site``, ``k1``, ``k2``: one row per distinct line of a document."""
+    names = F.transform(F.filter(lines(), lambda x: F.btrim(x, F.lit(" \t\r\x0b\x0c")) != ""), line_name)
+    rows = documents.select(F.col("source").cast("string").alias("site"), *text_key(), F.array_distinct(names).alias("all"))
+    return rows.select("site", "k1", "k2", F.explode("all").alias("line")).withColumn("line", F.unhex("line"))
 
 
 def boilerplate(marked: DataFrame, sites: int = SITES, log: int = LOG, margin: float = MARGIN) -> DataFrame:
@@ -66,7 +67,7 @@ def without_boilerplate(
     keyed = boxed(documents, F.col("text"), k1.alias("_k1"), k2.alias("_k2"))
     met = keyed.join(lost, (F.col("_k1") == F.col("k1")) & (F.col("_k2") == F.col("k2")), "left")
     full = F.filter(lines(), lambda x: F.btrim(x, F.lit(" \t\r\x0b\x0c")) != "")
-    keeps = lambda x: F.coalesce(~F.array_contains("_lost", line_hash(x)), F.lit(True))
+    keeps = lambda x: ~F.array_contains("_lost", F.unhex(line_name(x)))
     own = [c for c in documents.columns if c not in ("n_lines", "n_removed")]
     out = met.withColumns(
         {
@@ -74,7 +75,7 @@ def without_boilerplate(
                 F.array_join(F.filter(lines(), lambda x: (F.btrim(x, F.lit(" \t\r\x0b\x0c")) == "") | keeps(x)), "\n")
             ),
             "_lines": F.coalesce(F.size(full), F.lit(0)).cast("long"),
-            "_removed": F.coalesce(F.size(F.filter(full, lambda x: ~keeps(x))), F.lit(0)).cast("long"),
+            "_removed": F.when(F.col("_lost").isNull(), 0).otherwise(F.size(F.filter(full, lambda x: ~keeps(x)))).cast("long"),
         }
     )
     kept = [F.col("_kept").alias("text") if c == "text" else F.col("row")[c].alias(c) for c in own]
