@@ -5,8 +5,8 @@
    corpus, which leaves frequent words little weight.
 2. A passage is two neighbouring blocks, as the sum of its terms' weights. A randomised singular value decomposition of
    passages by terms gives ``RANK`` latent directions: a random projection of the passages is refined by ``ROUNDS`` power
-   iterations, each one distributed sum over passages. It is fitted on the benchmark's items, each ``ITEM_WEIGHT`` times, and
-   on at most ``SAMPLE`` documents, drawn by a hash of their text; every passage is then searched.
+   iterations, each one distributed sum over the passages of all documents. Beside them it is fitted on the benchmark's items,
+   each ``ITEM_WEIGHT`` times for every ``TEXTS`` documents, so that their share doesn't fall with the size of the corpus.
 3. A passage and an item are candidates if the cosine of their latent vectors, the passage's over its full length, is at least
    ``COSINE``. An item of more than ``PIECE`` words is searched in equal pieces of at most that many, any of which makes it a
    candidate. An item of fewer than ``SHORT`` words is too small a part of a passage for that: it is a candidate wherever the
@@ -17,10 +17,11 @@
 
 The benchmark is met in blocks of about ``ITEMS`` pieces, fewer than there are directions, so that what travels to the tasks is
 bounded; a benchmark of any size is a number of such blocks. An item stays in one block: one of more pieces than that has as many
-directions more. No documents are moved: every step is one pass over them.
+directions more. No documents are moved: every step is one pass over them. In a power iteration, a task sums products of two
+terms' weights in a table, if there are no more than ``TERMS`` terms; else it sums rows of the basis, which is slower.
 
 Nulls: a null or empty text, of a document or an item, has no words and matches nothing; items and documents without an id are
-compared and reported with a null id. Repeated rows are reported once each. Empty tables give no rows.
+compared and reported with a null id. Repeated rows are counted, fitted on and reported once each. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -29,22 +30,27 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.storage import settle, stored
-from .keys import share_of, text_key
+from ..sources.storage import stored
+from .keys import text_key
 
 HALF = 24
 RANK = 256
 EXTRA = 16
 ROUNDS = 2
-SAMPLE = 2_000
 ITEMS = 200
 ITEM_WEIGHT = 100
+#: Documents to which ``ITEM_WEIGHT`` refers.
+TEXTS = 2_000
+#: Terms whose products a task holds as one table, of 134 MB, and words of documents that it lays out at a time.
+TERMS = 1 << 12
+LAID = 20_000
 #: Words of the longest piece of an item, and of the shortest item that is searched by its vector.
 PIECE = 3 * HALF
 SHORT = HALF // 2
@@ -56,6 +62,8 @@ LIKELY = 0.6
 ANSWER = 0.75
 SEED = 5
 WORDS = re.compile(r"\w+")
+#: Latin-1 with a space for what parts words.
+LATIN = bytes(i if WORDS.fullmatch(chr(i)) else 32 for i in range(256))
 
 
 @dataclass
@@ -79,6 +87,10 @@ def answer_of(text: str | None) -> str:
     return sentences[-1] if sentences else ""
 
 
+def latin(word: str) -> bool:
+    return max(word) <= "\xff"
+
+
 def pieces(terms: np.ndarray) -> list[np.ndarray]:
     """An item in equal parts of at most ``PIECE`` words."""
     return np.array_split(terms, -(-len(terms) // PIECE))
@@ -103,9 +115,18 @@ def _terms(vocabulary: dict[str, int]):
     """Documents as term numbers, -1 for words that are no term."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = vocabulary.get
+        coded = {w.encode("latin-1"): i for w, i in vocabulary.items() if latin(w)}
+        numbers = lambda found, get: np.fromiter(map(get, found, repeat(-1)), np.int32, len(found))
+
+        def terms_of(text: str) -> np.ndarray:
+            # The same words as those of ``words``; bytes are parted several times as fast.
+            try:
+                return numbers(text.lower().encode("latin-1").translate(LATIN).split(), coded.get)
+            except UnicodeEncodeError:
+                return numbers(words(text), vocabulary.get)
+
         for batch in batches:
-            each = [np.array([get(w, -1) for w in words(t.as_py())], dtype=np.int32) for t in batch.column(3)]
+            each = [terms_of(t.as_py() or "") for t in batch.column(3)]
             offsets = np.cumsum([0, *(len(x) for x in each)])
             flat = np.concatenate(each) if each else np.zeros(0, dtype=np.int32)
             terms = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat))
@@ -121,21 +142,32 @@ def _sequences(batch: pa.RecordBatch) -> list[np.ndarray]:
     return [flat[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
 
 
+def _laid_out(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """About ``LAID`` words of whole texts at a time: the terms, the block of each, and how many blocks each text has."""
+    sequences = [x for x in _sequences(batch) if len(x)]
+    ends = np.cumsum([len(x) for x in sequences])
+    for same in np.split(np.arange(len(sequences)), np.flatnonzero(np.diff(ends // LAID)) + 1):
+        if len(same):
+            part = [sequences[i] for i in same]
+            sizes = np.array([len(x) for x in part])
+            number = -(-sizes // HALF)
+            place = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            yield np.concatenate(part), np.repeat(np.cumsum(number) - number, sizes) + place // HALF, number
+
+
 def _frequencies(size: int):
-    """Blocks that hold each term, one row per task and term; the number of blocks under the term -1."""
+    """Blocks that hold each term, one row per task and term; under -1 the number of blocks, under -2 of texts with words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found, blocks = np.zeros(size, dtype=np.int64), 0
+        found, blocks, texts = np.zeros(size, dtype=np.int64), 0, 0
         for batch in batches:
-            for terms in _sequences(batch):
-                number = -(-len(terms) // HALF)
-                blocks += number
-                block = np.arange(len(terms)) // HALF
+            for terms, block, number in _laid_out(batch):
+                blocks, texts = blocks + int(number.sum()), texts + len(number)
                 known = terms >= 0
                 pairs = np.unique(block[known] * size + terms[known])
                 found += np.bincount(pairs % size, minlength=size)
         some = np.flatnonzero(found)
-        columns = [pa.array(np.append(some, -1)), pa.array(np.append(found[some], blocks))]
+        columns = [pa.array(np.append(some, [-1, -2])), pa.array(np.append(found[some], [blocks, texts]))]
         yield pa.record_batch(columns, names=["term", "n"])
 
     return run
@@ -171,36 +203,81 @@ def _product(terms: np.ndarray, weights: np.ndarray, basis: np.ndarray) -> tuple
     return own, np.add.reduceat((weight[:, None] * each[block])[order], starts, axis=0)
 
 
-def _power(weights: np.ndarray, basis: np.ndarray):
-    """Sum over passages a of a (a . basis), row by row of the result."""
+def _add_products(table: np.ndarray, terms: np.ndarray, block: np.ndarray, number: np.ndarray, weights: np.ndarray) -> None:
+    """Add to ``table`` half of the sum of a a' over the passages a of some texts; the other half is its mirror image.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Two words meet in a passage if they stand in one block or in neighbouring ones of a text. Words of one block share the
+    passages on both sides of it, words of two blocks the one passage that these make.
+    """
+    place = np.flatnonzero(terms >= 0)
+    known, block = terms[place].astype(np.int64), block[place]
+    weight, total = weights[known], int(number.sum())
+    squares = np.bincount(block, weight * weight, minlength=total)
+    last = np.cumsum(number) - 1
+    single = last[number == 1]
+    across = 1 / np.maximum(squares + np.append(squares[1:], 0), 1e-12)
+    across[last] = 0
+    within = across + np.append(0, across[:-1])
+    within[single] = 1 / np.maximum(squares[single], 1e-12)
+    flat, size = table.reshape(-1), len(weights)
+    inside, beside = weight * within[block], weight * across[block]
+    np.add.at(flat, known * (size + 1), weight * inside / 2)
+    # Each word meets the later ones of its block, then those of the next block, if that is one of its text.
+    begins, own = np.searchsorted(block, np.arange(total + 2)), np.arange(len(known))
+    here = begins[block + 1] - own - 1
+    each = here + np.where(across[block] > 0, begins[block + 2] - begins[block + 1], 0)
+    one = np.repeat(own, each)
+    step = np.arange(len(one)) - np.repeat(np.cumsum(each) - each, each)
+    value = np.where(step < here[one], inside[one], beside[one])
+    other = one + step + 1
+    np.add.at(flat, known[one] * size + known[other], value * weight[other])
+
+
+def _power(weights: np.ndarray, basis: np.ndarray, most: int = TERMS):
+    """Sum over passages a of a (a . basis), row by row of the result; up to ``most`` terms by a table of their products."""
+
+    def by_table(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+        size = len(weights)
+        table, own = np.zeros((size, size)), np.empty(size)
+        # Weights that were sent have a type object of their own, for which ``np.add.at`` is many times slower.
+        own[:] = weights
+        for batch in batches:
+            for terms, block, number in _laid_out(batch):
+                _add_products(table, terms, block, number, own)
+        rows = range(0, size, 256)
+        return np.concatenate([(table[a : a + 256] + table[:, a : a + 256].T) @ basis for a in rows])
+
+    def by_rows(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
         total = np.zeros(basis.shape)
         for batch in batches:
             for terms in _sequences(batch):
                 if (terms >= 0).any():
                     own, rows = _product(terms, weights, basis)
                     total[own] += rows
+        return total
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = (by_table if len(weights) <= most else by_rows)(batches)
         columns = [pa.array(np.arange(len(weights))), pa.array(list(total), pa.list_(pa.float64()))]
         yield pa.record_batch(columns, names=["term", "row"])
 
     return run
 
 
-def latent(sampled: DataFrame, items: list[Item], weights: np.ndarray, rank: int = RANK) -> np.ndarray:
-    """Terms by latent directions: right singular vectors of the passages of ``sampled`` and of the items."""
+def latent(texts: DataFrame, items: list[Item], weights: np.ndarray, rank: int = RANK, weight: float = ITEM_WEIGHT) -> np.ndarray:
+    """Terms by latent directions: right singular vectors of the passages of ``texts`` and of the items, ``weight`` times each."""
     size = len(weights)
     width = min(size, rank + EXTRA)
     basis = np.linalg.qr(np.random.default_rng(SEED).standard_normal((size, width)))[0]
     for _ in range(ROUNDS):
-        summed = sampled.mapInArrow(_power(weights, basis), "term long, row array<double>")
+        summed = texts.mapInArrow(_power(weights, basis), "term long, row array<double>")
         slots = [F.sum(F.col("row")[i]).alias(f"c{i}") for i in range(width)]
         table = summed.groupBy("term").agg(*slots).toPandas().sort_values("term")  # terms by width, both bounded
         product = table.drop(columns="term").to_numpy() if len(table) else np.zeros((size, width))
         for piece in (p for item in items for p in pieces(item.terms)):
             own, counts = np.unique(piece, return_counts=True)
             row = _unit(counts * weights[own])
-            product[own] += ITEM_WEIGHT * row[:, None] * (row @ basis[own])
+            product[own] += weight * row[:, None] * (row @ basis[own])
         basis, scale, _ = np.linalg.svd(product, full_matrices=False)
     return np.ascontiguousarray(basis[:, : min(rank, int((scale > 1e-9).sum()) or 1)], dtype=np.float32)
 
@@ -220,11 +297,13 @@ def _searched(items: list[Item], weights: np.ndarray, directions: np.ndarray, co
     weighed = directions * weights[:, None]
     parts = [(i, p) for i, x in enumerate(items) for p in pieces(x.terms)]
     item_of = np.array([i for i, _ in parts])
+    first = np.flatnonzero(np.diff(item_of, prepend=-1))
     targets = _unit(np.stack([weighed[p].sum(axis=0) for _, p in parts]))
     # Sums are linear, so a term's part in the inner product with every item is one row of a table; beside it the square of
     # the term's weight. A last row of zeros stands for words that are no term.
     table = np.hstack([weighed @ targets.T, (weights * weights)[:, None]])
     table = np.vstack([table, np.zeros((1, table.shape[1]))]).astype(np.float32)
+    ones = np.ones((1, HALF), dtype=np.float32)
     shares = np.zeros((len(items), len(weights) + 1), dtype=bool)
     for i, x in enumerate(items):
         shares[i, x.terms] = True
@@ -239,9 +318,10 @@ def _searched(items: list[Item], weights: np.ndarray, directions: np.ndarray, co
             part = terms[at : at + (CHUNK + 1) * HALF]
             if at and len(part) <= HALF:
                 break
-            passages = _passages(np.add.reduceat(table[part], np.arange(0, len(part), HALF), axis=0))
+            part = np.append(part, np.full(-len(part) % HALF, -1, dtype=part.dtype))
+            passages = _passages((ones @ table[part].reshape(-1, HALF, table.shape[1]))[:, 0])
             near = passages[:, :-1] / np.sqrt(np.maximum(passages[:, -1:], 1e-9))
-            np.maximum.at(most, item_of, near.max(axis=0))
+            np.maximum(most, np.maximum.reduceat(near.max(axis=0), first), out=most)
             for p, k in zip(*np.nonzero(near >= cosine), strict=True):
                 found.setdefault(int(item_of[k]), []).append(int(p) + at // HALF)
         around: dict[int, list[tuple[int, int]]] = {}
@@ -320,16 +400,12 @@ def _block(documents: DataFrame, rows: list, cosine: float) -> DataFrame:
     texts = stored(narrow.mapInArrow(_terms(vocabulary), "doc_id long, k1 long, k2 long, terms array<int>"), "terms")
     found = texts.select("terms").mapInArrow(_frequencies(len(vocabulary)), "term long, n long")
     held = {r["term"]: r["n"] for r in found.groupBy("term").agg(F.sum("n").alias("n")).collect()}  # one row per term
-    blocks = held.pop(-1, 0)
+    blocks, number = held.pop(-1, 0), held.pop(-2, 0)
     weights = np.array([np.log((1 + blocks) / (1 + held.get(t, 0))) ** 2 + 1e-3 for t in range(len(vocabulary))])
-    # At most SAMPLE pairs of numbers are sent to every executor, and as many texts are fitted on.
-    drawn = texts.filter((F.size("terms") > 0) & share_of(F.col("k1"), SAMPLE, texts.count())).select("k1", "k2")
-    drawn = F.broadcast(settle(drawn.distinct().orderBy("k1", "k2").limit(SAMPLE)))
-    drawn = texts.join(drawn, ["k1", "k2"]).dropDuplicates(["k1", "k2"]).select("terms")
-    number = sum(len(pieces(x.terms)) for x in items)
-    # A few texts are much work, so they are dealt to all cores.
-    drawn = settle(drawn.repartition(drawn.sparkSession.sparkContext.defaultParallelism))
-    directions = latent(drawn, items, weights, max(RANK, number * RANK // ITEMS))
+    # What a task sums has a row per term, however many texts; so there is one task per core.
+    whole = texts.select("terms").coalesce(texts.sparkSession.sparkContext.defaultParallelism)
+    rank = max(RANK, sum(len(pieces(x.terms)) for x in items) * RANK // ITEMS)
+    directions = latent(whole, items, weights, rank, ITEM_WEIGHT * max(1, number / TEXTS))
     return texts.select(*KEY, "terms").mapInArrow(_searched(items, weights, directions, cosine), SHAPE)
 
 

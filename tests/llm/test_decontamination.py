@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 
 from sitesieve.llm import decontamination as dc
 
@@ -101,3 +102,49 @@ def test_any_window_counts(spark, documents):
     assert set(found) == {(1000, 1), (1002, 1), (2000, 2)}
     assert found[1000, 1]["answered"] and found[1000, 1]["common_words"] == 27
     assert found[2000, 2]["common_words"] == 30
+
+
+def test_table_of_products():
+    """Sums over passages by the table of products equal those by rows and those over written-out passages."""
+    rng = np.random.default_rng(7)
+    size = 40
+    texts = [rng.integers(-1, size, n).astype(np.int32) for n in (0, 1, 24, 25, 47, 48, 49, 300, 5000, 24, 3)]
+    texts.append(np.full(100, -1, dtype=np.int32))
+    weights, basis = rng.random(size) + 0.1, rng.standard_normal((size, 6))
+    batches = [pa.record_batch([pa.array(part, pa.list_(pa.int32()))], names=["terms"]) for part in (texts[:7], texts[7:])]
+    expected = np.zeros(basis.shape)
+    for terms in texts:
+        blocks = [terms[i : i + dc.HALF] for i in range(0, len(terms), dc.HALF)]
+        for passage in [np.concatenate(b) for b in zip(blocks, blocks[1:])] or blocks:
+            known = passage[passage >= 0]
+            row = np.bincount(known, weights[known], minlength=size)
+            expected += np.outer(row, row @ basis) / max((weights[known] ** 2).sum(), 1e-12)
+    for most in (size, 0):
+        (found,) = dc._power(weights, basis, most)(iter(batches))
+        assert np.allclose(np.array(found.column(1).to_pylist()), expected)
+
+
+def test_terms_of_all_letters():
+    """Words that Latin-1 has and words that it has not, parted as by the pattern."""
+    texts = ["Ünïcode, naïve\x85x\x1cy_z 4²", "日本 und Straße", "\u212aelvin İx", None, "a-b\xa0c\tµ ª"]
+    vocabulary = {w: i for i, w in enumerate(sorted({w for t in texts for w in dc.words(t)}))}
+    ids = pa.array(range(len(texts)))
+    (found,) = dc._terms(vocabulary)(iter([pa.record_batch([ids, ids, ids, pa.array(texts)], names=["doc_id", "k1", "k2", "text"])]))
+    assert found.column(3).to_pylist() == [[vocabulary[w] for w in dc.words(t)] for t in texts]
+
+
+def test_fitted_on_every_document(spark, documents, monkeypatch):
+    """More documents than any sample had, copies among them: all are fitted on, and the items keep their share."""
+    seen = []
+
+    def latent(texts, items, weights, rank, weight):
+        seen.append((texts.count(), weight))
+        return fitted(texts, items, weights, rank, weight)
+
+    fitted = dc.latent
+    monkeypatch.setattr(dc, "latent", latent)
+    text = "the quick zebu jumps over nine lazy okapis while seven tapirs watch from the old wooden bridge"
+    rows = [(i, f"the old bridge number {i % 3000}") for i in range(4000)] + [(9000, "well " + text)]
+    benchmark = spark.createDataFrame([(1, text)], "item_id long, text string")
+    assert [(r["doc_id"], r["item_id"]) for r in dc.leaks(documents(rows), benchmark).collect()] == [(9000, 1)]
+    assert seen == [(4001, dc.ITEM_WEIGHT * 4001 / dc.TEXTS)]
