@@ -4,6 +4,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from sitesieve.llm import toxicity as tx
@@ -117,3 +118,55 @@ def test_many_partitions(spark, documents, planted):
     rows = [(1, f"{t} {i}") for i in range(300) for t in ("fair",)] + [(i, t) for i, t in docs[2:300]]
     model = tx.fit(documents(rows), table, sample=200)
     assert model.odds
+
+
+def test_fitted_on_every_label(spark):
+    """More labelled rows than any sample had: the log-odds are those of the counts over all of them, held-out rows left out."""
+    ids = range(30_000)
+    word = lambda i: "vile" if i % 5 == 0 else "rotten" if i % 7 == 0 else "fair"
+    frame = spark.range(30_000).selectExpr(
+        "id AS doc_id", "CASE WHEN id % 5 = 0 THEN 'vile' WHEN id % 7 = 0 THEN 'rotten' ELSE 'fair' END || ' day' AS text"
+    )
+    table = spark.range(30_000).selectExpr("id AS doc_id", "1 AS quality", "int(id % 5 = 0 OR id % 70 = 7) AS toxic")
+    model = tx.fit(frame, table)
+    learned = [i for i in ids if zlib.crc32(str(i).encode()) % 4 != 2]
+    assert len(learned) > 20_000
+    toxic = lambda i: i % 5 == 0 or i % 70 == 7
+    n1 = sum(map(toxic, learned))
+    n0 = len(learned) - n1
+    a0, a1 = tx.PRIOR * n0 / len(learned), tx.PRIOR * n1 / len(learned)
+    assert set(model.odds) >= {"vile", "fair"}
+    for name, odds in model.odds.items():
+        held = [i for i in learned if name in (word(i), "day")]
+        y1 = sum(map(toxic, held))
+        y0 = len(held) - y1
+        expected = np.log((y1 + a1) / (n1 + 2 * a1 - y1 - a1)) - np.log((y0 + a0) / (n0 + 2 * a0 - y0 - a0))
+        assert abs(odds - expected) < 1e-9
+
+
+def test_curve_from_sums(spark):
+    """The curve through points in several tasks against Newton steps over all points at once."""
+    rng = np.random.default_rng(4)
+    x = np.round(rng.exponential(2, (300, 2)), 1)
+    y = (rng.random(300) < 1 / (1 + np.exp(3 - 2 * x[:, 0]))).astype(int)
+    n = rng.integers(1, 9, 300)
+    rows = [(a, int(b), int(c)) for a, b, c in zip(x.tolist(), y, n, strict=True)]
+    points = spark.createDataFrame(rows, "x array<double>, _label long, n long").repartition(5)
+    for i, (level, slope, misfit) in enumerate(tx._logistic(points, 2)):
+        at = level + slope * np.log1p(x[:, i])
+        p = 1 / (1 + np.exp(-at))
+        assert abs((n * (y - p)).sum()) < 1e-5
+        assert abs((n * (y - p) * np.log1p(x[:, i])).sum() - 0.01 * slope) < 1e-5
+        assert abs(misfit + (n * np.log(np.where(y == 1, p, 1 - p))).sum()) < 1e-6
+
+
+def test_counts_are_handed_on(monkeypatch):
+    """A task that hands its counts on early counts the same."""
+    batch = pa.record_batch([pa.array(["a b", "b c", "b d"]), pa.array([0, 0, 1]), pa.array([False] * 3)], names=["text", "_label", "_late"])
+    monkeypatch.setattr(tx, "HELD", 1)
+    found = {}
+    for part in tx._counted(iter([batch])):
+        for row in part.to_pylist():
+            key = (row["word"], row["label"])
+            found[key] = found.get(key, 0) + row["n"]
+    assert found == {("a", 0): 1, ("b", 0): 2, ("c", 0): 1, ("b", 1): 1, ("d", 1): 1}
