@@ -28,6 +28,7 @@ import re
 from array import array
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -43,19 +44,20 @@ END = 1
 #: Sweeps over all blocks, at most, and the gain of a sweep below which it is the last.
 SWEEPS = 25
 GAIN = 0.03
-#: Words whose ids a task remembers.
+#: Words whose ids a worker remembers from lately, and as many from before.
 WORDS = 300_000
 #: Letters of Latin-1 beyond ASCII. In texts of these and ASCII alone, composed forms are what they are, one letter has one
 #: lower-case letter, and patterns with \p{L} and \p{N} can be written as character classes.
 LATIN = "À-ÖØ-öø-ÿ"
 
 
+@cache
 def tokenizer(path: str) -> Callable[[str], bytes]:
     """From a text to its ids as little-endian unsigned 32-bit numbers.
 
     A tokenizer that lower-cases and parts words by a pattern, as ``word_bpe_49k.json``, encodes words apart from each other, so
-    each word is encoded once and remembered. Words that this isn't certain for, and whole texts under any other kind of
-    tokenizer, are left to the library.
+    each word is encoded once and remembered, also for a worker's later tasks. Words that this isn't certain for, and whole texts
+    under any other kind of tokenizer, are left to the library.
     """
     from tokenizers import Tokenizer, pre_tokenizers
 
@@ -72,30 +74,50 @@ def tokenizer(path: str) -> Callable[[str], bytes]:
     parts, chunks = re.compile(pattern, re.A).findall, re.compile(r"[^ \n\t\r]+").findall
     model, bytewise = whole.model, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
 
+    letters = f"A-Za-z{LATIN}"
+    # Under this pattern a sign after a letter or a digit begins a word, whatever stands before.
+    apart = re.fullmatch(r"('[a-z]+\|)*" + re.escape(rf"[{letters}]+|[0-9]|[^\s{letters}0-9]+"), pattern) is not None
+    signs = frozenset(re.sub(rf"[\s{letters}0-9]", "", "".join(map(chr, range(128))), flags=re.A).encode() if apart else b"")
+
     class Words(dict):
-        def __missing__(self, word: str) -> bytes:
-            if not known(word):
-                ids = encode(word)
-            else:
-                letters = word if plain(word) else bytewise.pre_tokenize_str(word)[0][0]
-                ids = packed([t.id for t in model.tokenize(letters)])
+        """Ids of what stands between white space: lower-case Latin-1 as bytes, or text that is left to the library."""
+
+        before: dict[str | bytes, bytes] = {}
+
+        def __missing__(self, chunk: str | bytes) -> bytes:
+            if isinstance(chunk, bytes) and chunk[-1] in signs and len(chunk) > 1 and chunk[-2] not in signs:
+                return self[chunk[:-1]] + self[chunk[-1:]]
+            ids = self.before.get(chunk)
+            if ids is None:
+                ids = self.made(chunk)
             if len(self) >= WORDS:
+                self.before = dict(self)
                 self.clear()
-            self[word] = ids
+            self[chunk] = ids
             return ids
 
+        def made(self, chunk: str | bytes) -> bytes:
+            if isinstance(chunk, str):
+                return encode(chunk)
+            found = parts(chunk.decode("latin-1"))
+            if len(found) != 1:
+                return b"".join([self[w.encode("latin-1")] for w in found])
+            written = found[0] if plain(found[0]) else bytewise.pre_tokenize_str(found[0])[0][0]
+            return packed([t.id for t in model.tokenize(written)])
+
     get = Words().__getitem__
 
     def run(text: str) -> bytes:
         if any(a in text for a in added):
             return encode(text)
+        # No word reaches over white space, so a piece between white space is encoded like a text of its own. Bytes are parted
+        # at the white space of ASCII alone, as words are.
         if known(text):
-            return b"".join(map(get, parts(text.lower())))
-        # No word reaches over white space, so a piece between white space is encoded like a text of its own.
-        found: list[str] = []
+            return b"".join(map(get, text.lower().encode("latin-1").split()))
+        found: list[str | bytes] = []
         for chunk in chunks(text):
             if known(chunk):
-                found += parts(chunk.lower())
+                found += chunk.lower().encode("latin-1").split()
             else:
                 found.append(chunk)
         return b"".join(map(get, found))

@@ -138,3 +138,18 @@ def test_most_rests_stay_whole():
     assert len(plan.entries) < 5000
     cut = sum(1 for *_, length, rest, _ in pieces_of(plan, histogram // 100, window) if length < rest)
     assert cut < 0.1 * (histogram // 100).sum()
+
+
+def test_remembered_words(monkeypatch):
+    """A worker's tasks share what was encoded; ids are the library's, also where few words are remembered."""
+    whole, rng = tokenizers.Tokenizer.from_file(PATH), random.Random(5)
+    assert pk.tokenizer(PATH) is pk.tokenizer(PATH)
+    some = ["the", "Don't", "'S", "naïve", "É́", "x\x1cy", "日本", "<|endoftext|>", "9", "word.", "(a)", "it's,", "…", " ", "\n", "\x0b", "\xa0", "-", "'"]
+    texts = ["".join(rng.choice(some) for _ in range(rng.randrange(30))) for _ in range(1500)]
+    for words in (pk.WORDS, 20):
+        monkeypatch.setattr(pk, "WORDS", words)
+        pk.tokenizer.cache_clear()
+        ids_of = pk.tokenizer(PATH)
+        for text in texts:
+            assert ids_of(text) == np.array(whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+    pk.tokenizer.cache_clear()
